@@ -1,0 +1,5 @@
+"""No streaming operator: every input of this domain is a finite set of files.
+
+New samples are handled by running the same transforms over new partitions and
+overlaying the results (``sources.tables.overlay_updates``).
+"""
