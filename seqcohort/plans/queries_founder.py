@@ -131,7 +131,8 @@ def _(spark, d):
     return fo.consensus_histogram(pr.consensus_distance(dd.exact_dedup(rows), st.majority_consensus(rows)))
 
 
-@query("poisson_lambda", sql(ALN, *FIT, select="SELECT sample_id, round("lambda", 6) AS "lambda", max_hd, n_pairs FROM lam"))
+@query("poisson_lambda", sql(ALN, *FIT, select="""
+SELECT sample_id, round("lambda", 6) AS "lambda", max_hd, n_pairs FROM lam"""))
 def _(spark, d):
     return rounded(fo.poisson_lambda(fo.distance_histogram(unique(spark, d))), 6, "lambda")
 
