@@ -165,9 +165,14 @@ def _arrays(xx, xy) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(xx, dtype=float).reshape(len(xy), len(xy)), xy
 
 
-@F.pandas_udf("array<double>")
-def ols(xx: pd.Series, xy: pd.Series) -> pd.Series:
-    return pd.Series([solve_normal(*_arrays(a, b)).tolist() for a, b in zip(xx, xy)])
+def ols(xx: str, xy: str) -> Column:
+    """Coefficients from sums of products, one short solve per row."""
+
+    @F.pandas_udf("array<double>")
+    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
+        return pd.Series([solve_normal(*_arrays(a, b)).tolist() for a, b in zip(xx, xy)])
+
+    return solve(xx, xy)
 
 
 def rss(xx: np.ndarray, xy: np.ndarray, yy: float, beta: np.ndarray) -> float:
@@ -205,21 +210,20 @@ def stepwise(forced: Sequence[int]):
     return search
 
 
-def lasso_path_solve(xx: np.ndarray, xy: np.ndarray, n: float, free: Sequence[int], lam: float, beta: np.ndarray) -> np.ndarray:
-    """Coordinate descent on sums of products; ``free`` columns carry no penalty, the
-    others are penalised on their own scale."""
-    scale = np.sqrt(np.maximum(np.diag(xx) / n, 0))
+def lasso_descend(xx: np.ndarray, xy: np.ndarray, n: np.ndarray, free: Sequence[int], lam: float, beta: np.ndarray) -> np.ndarray:
+    """Coordinate descent on sums of products, for a stack of problems at once; ``free``
+    columns carry no penalty, the others are penalised on their own scale."""
+    own = np.maximum(np.einsum("bjj->bj", xx), 1e-300)
+    scale = np.sqrt(own / n[:, None])
     beta = beta.copy()
-    for _ in range(500):
+    for _ in range(300):
         largest = 0.0
-        for j in range(len(xy)):
-            if xx[j, j] <= 1e-12:
-                continue
-            r = xy[j] - xx[j] @ beta + xx[j, j] * beta[j]
-            limit = 0.0 if j in free else n * lam * scale[j]
-            new = math.copysign(max(abs(r) - limit, 0.0), r) / xx[j, j]
-            largest = max(largest, abs(new - beta[j]) * scale[j])
-            beta[j] = new
+        for j in range(xy.shape[1]):
+            r = xy[:, j] - np.einsum("bk,bk->b", xx[:, j], beta) + own[:, j] * beta[:, j]
+            limit = 0.0 if j in free else n * lam * scale[:, j]
+            new = np.where(own[:, j] > 1e-12, np.sign(r) * np.maximum(np.abs(r) - limit, 0.0) / own[:, j], 0.0)
+            largest = max(largest, float(np.abs((new - beta[:, j]) * scale[:, j]).max()))
+            beta[:, j] = new
         if largest < 1e-8:
             break
     return beta
@@ -251,20 +255,23 @@ def lasso_coefficients(stats: DataFrame, free: Sequence[int], person: str = "pti
             base = solve_normal(xx[f], xy[f], set(range(len(xy[f]))) - set(free))
             top = np.max(np.abs(xy[f] - xx[f] @ base) / (n[f] * scale), initial=1e-12)
             grid = top * np.logspace(0, -3, n_lambda)
-            error = np.zeros(n_lambda)
-            for h in range(k):
-                if h == f:
-                    continue
-                a, b, m = xx[f] - own_xx[h], xy[f] - own_xy[h], n[f] - own_n[h]
-                if m <= 0:
-                    continue
-                beta = base.copy()
+            inner = np.array([h for h in range(k) if h != f and n[f] - own_n[h] > 0], dtype=int)
+            pick = n_lambda - 1
+            if len(inner):
+                a, b, m = xx[f] - own_xx[inner], xy[f] - own_xy[inner], n[f] - own_n[inner]
+                beta = np.tile(base, (len(inner), 1))
+                error = np.zeros(n_lambda)
                 for i, lam in enumerate(grid):
-                    beta = lasso_path_solve(a, b, m, free, lam, beta)
-                    error[i] += own_yy[h] - 2 * beta @ own_xy[h] + beta @ own_xx[h] @ beta
-            beta = base.copy()
-            for lam in grid[: int(error.argmin()) + 1]:
-                beta = lasso_path_solve(xx[f], xy[f], n[f], free, lam, beta)
+                    beta = lasso_descend(a, b, m, free, lam, beta)
+                    error[i] = (
+                        own_yy[inner] - 2 * (beta * own_xy[inner]).sum(1)
+                        + np.einsum("bi,bij,bj->b", beta, own_xx[inner], beta)
+                    ).sum()
+                pick = int(error.argmin())
+            beta = base[None, :]
+            for lam in grid[: pick + 1]:
+                beta = lasso_descend(xx[f][None], xy[f][None], n[f : f + 1], free, lam, beta)
+            beta = beta[0]
             out.append(beta.tolist())
         return g[[*keys, person]].assign(beta=out)
 

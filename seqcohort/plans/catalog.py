@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
+    """Fill the catalog. Functions that run in Python workers are sent by value, so the
+    package need not be installed on the executors."""
+    import seqcohort
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(seqcohort)
     from seqcohort.plans import (  # noqa: F401
         queries_cohort, queries_evaluate, queries_founder, queries_pairs, queries_scalars, queries_sites,
         queries_sources,

@@ -43,7 +43,10 @@ def settle(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows to the full number of shuffle partitions. Rows in front of numeric work
     are small, so merging partitions by bytes would leave all of it to one task."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        n = min(n, 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
 
 
