@@ -27,9 +27,9 @@ CONTROL_CONTEXT = "-*(?:[ct]-*[acgt]|[ag]-*c)"
 
 
 def _with_contexts(df: DataFrame, consensus: DataFrame, keys: Sequence[str], seq: str, ref: str) -> DataFrame:
-    """Arrays over the sites of each row: bases, consensus, and a letter per site telling
-    its context (M, C or another base). Everything is found inside the row, so sequences
-    are not exploded."""
+    """Adds ``_z``: per site the base, the consensus and whether a mutation (M) or control
+    (C) context follows. Everything is found inside the row, so sequences are not exploded;
+    the zipped array is what keeps the lambdas below from recomputing whole rows per site."""
     query = F.lower(seq)
     return (
         df.join(consensus.select(*keys, ref), list(keys))
@@ -37,47 +37,43 @@ def _with_contexts(df: DataFrame, consensus: DataFrame, keys: Sequence[str], seq
         .withColumn("_ref", ab.chars(F.lower(ref)))
         .withColumn("_mut", ab.chars(F.regexp_replace(query, f".(?={MUTATION_CONTEXT})", "M")))
         .withColumn("_ctl", ab.chars(F.regexp_replace(query, f".(?={CONTROL_CONTEXT})", "C")))
-        .drop(ref)
+        .withColumn("_z", F.arrays_zip("_q", "_ref", "_mut", "_ctl"))
+        .drop(ref, "_q", "_ref", "_mut", "_ctl")
     )
 
 
-def _at_g(flag: str, letter: str, only_a: bool) -> Column:
-    """Site numbers (from 1) where the consensus is G and the context letter matches."""
-
-    def test(base: Column, i: Column) -> Column:
-        hit = (F.get(F.col("_ref"), i) == "g") & (F.get(F.col(flag), i) == letter)
-        return hit & (base == "a") if only_a else hit
-
-    sites = F.transform("_q", lambda b, i: F.when(test(b, i), i + 1))
-    return F.filter(sites, lambda p: p.isNotNull())
+def _kind(site: Column) -> Column:
+    """The two contexts exclude each other."""
+    return F.when(site["_ref"] == "g", F.when(site["_mut"] == "M", "mutation").when(site["_ctl"] == "C", "control"))
 
 
 def hypermutation_sites(df: DataFrame, consensus: DataFrame, keys: Sequence[str] = KEYS,
                         name: str = "seq_name", seq: str = "seq", ref: str = "cons") -> DataFrame:
     """Potential mutation and control positions of each sequence with the base it has."""
     rows = _with_contexts(df, consensus, keys, seq, ref)
-    kinds = F.array(
-        F.struct(F.lit("mutation").alias("kind"), _at_g("_mut", "M", False).alias("sites")),
-        F.struct(F.lit("control").alias("kind"), _at_g("_ctl", "C", False).alias("sites")),
-    )
-    return (
-        rows.select(*keys, name, "_q", F.explode(kinds).alias("k"))
-        .select(*keys, name, "_q", F.col("k.kind").alias("kind"), F.explode("k.sites").alias("pos"))
-        .select(*keys, name, "kind", "pos", F.get("_q", F.col("pos") - 1).alias("base"))
-    )
+    sites = F.transform("_z", lambda s, i: F.struct(_kind(s).alias("kind"), (i + 1).alias("pos"), s["_q"].alias("base")))
+    found = F.filter(sites, lambda s: s["kind"].isNotNull())
+    return rows.select(*keys, name, F.explode(found).alias("s")).select(*keys, name, "s.kind", "s.pos", "s.base")
 
 
 def hypermutation_counts(df: DataFrame, consensus: DataFrame, keys: Sequence[str] = KEYS,
                          seq: str = "seq", ref: str = "cons") -> DataFrame:
     """The input rows with the four counts of their 2x2 table."""
     rows = _with_contexts(df, consensus, keys, seq, ref)
-    size = lambda c: F.size(c).cast("bigint")
-    return rows.withColumns(
+    # one letter per site: upper case where the base is the mutated one
+    mark = F.transform(
+        "_z",
+        lambda s: F.when(_kind(s) == "mutation", F.when(s["_q"] == "a", "M").otherwise("m"))
+        .when(_kind(s) == "control", F.when(s["_q"] == "a", "C").otherwise("c")).otherwise(""),
+    )
+    marked = rows.withColumn("_marks", F.array_join(mark, "")).drop("_z")
+    size = lambda letters: F.length(F.translate(F.col("_marks"), letters, "")).cast("bigint")
+    return marked.withColumns(
         {
-            "n_mut": size(_at_g("_mut", "M", True)), "n_potential_mut": size(_at_g("_mut", "M", False)),
-            "n_control": size(_at_g("_ctl", "C", True)), "n_potential_control": size(_at_g("_ctl", "C", False)),
+            "n_mut": size("mcC"), "n_potential_mut": size("cC"),
+            "n_control": size("cmM"), "n_potential_control": size("mM"),
         }
-    ).drop("_q", "_ref", "_mut", "_ctl")
+    ).drop("_marks")
 
 
 def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p") -> DataFrame:
@@ -118,7 +114,7 @@ def hypermutation_p(df: DataFrame, consensus: DataFrame, keys: Sequence[str] = K
             "_mn": F.col("n_potential_mut") - F.col("n_mut"),
         }
     )
-    return fisher_exact(counts, "n_control", "_cn", "n_mut", "_mn").drop("_cn", "_mn")
+    return fisher_exact(settle(counts), "n_control", "_cn", "n_mut", "_mn").drop("_cn", "_mn")
 
 
 def remove_hypermutated(df: DataFrame, consensus: DataFrame, threshold: float = 0.1,
@@ -139,11 +135,10 @@ def fix_hypermutated(df: DataFrame, consensus: DataFrame, threshold: float = 0.1
     rows = _with_contexts(df, consensus, keys, seq, ref).withColumn("_h", F.sha2(seq, 256))
     marks = flagged.select(*keys, F.sha2(seq, 256).alias("_h"), F.lit(True).alias("_bad"))
 
-    def repair(base: Column, i: Column) -> Column:
-        event = (F.get(F.col("_ref"), i) == "g") & (F.get(F.col("_mut"), i) == "M") & (base == "a")
-        return F.when(event, F.lit(fix_with)).otherwise(base)
+    def repair(site: Column) -> Column:
+        return F.when((_kind(site) == "mutation") & (site["_q"] == "a"), F.lit(fix_with)).otherwise(site["_q"])
 
-    fixed = F.array_join(F.transform("_q", repair), "")
+    fixed = F.array_join(F.transform("_z", repair), "")
     return rows.join(marks, [*keys, "_h"], "left").withColumn(
         seq, F.when(F.col("_bad"), fixed).otherwise(F.col(seq))
     ).select(*df.columns)
@@ -238,6 +233,7 @@ def star_convolution(cons_hist: DataFrame, pair_hist: DataFrame, keys: Sequence[
     with itself) against the observed one. Joins bins, of which a sample has no more than
     sites. All distances zero: not evaluated (NULL)."""
     keys = list(keys)
+    cons_hist, pair_hist = settle(cons_hist), settle(pair_hist)
     left = cons_hist.select(*keys, F.col("hd").alias("_a"), F.col("n").alias("_na"))
     right = cons_hist.select(*keys, F.col("hd").alias("_b"), F.col("n").alias("_nb"))
     conv = (

@@ -85,25 +85,46 @@ class Block:
         self.n = n
 
 
-def compare(a: Block, b: Block, gaps: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """(differing sites, sites compared, sites where one of the two is a gap)."""
+CHUNK = 64
+
+
+def compare(a: Block, b: Block, gaps: bool, with_compared: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """(differing sites, sites compared, sites where one of the two is a gap), filled in
+    strips of rows that stay in the processor cache."""
     shape = (a.n, b.n)
     differ = np.zeros(shape, np.int32)
-    compared = np.zeros(shape, np.int32)
+    compared = np.zeros(shape, np.int32) if with_compared else None
     indel = np.zeros(shape, np.int32) if gaps else None
-    for w in range(len(a.known)):
-        ka, kb = a.known[w][:, None], b.known[w][None, :]
-        shared = np.zeros(shape, np.uint64)
-        for pa, pb in zip(a.planes[w], b.planes[w]):
-            shared |= pa[:, None] & pb[None, :]
-        both = ka & kb
-        compared += np.bitwise_count(both)
-        differ += np.bitwise_count(both & ~shared)
-        if gaps:
-            indel += np.bitwise_count(ka ^ kb)
+    for top in range(0, a.n, CHUNK):
+        rows = slice(top, top + CHUNK)
+        for w in range(len(a.known)):
+            ka, kb = a.known[w][rows, None], b.known[w][None, :]
+            shared = a.planes[w][0][rows, None] & b.planes[w][0][None, :]
+            for pa, pb in zip(a.planes[w][1:], b.planes[w][1:]):
+                shared |= pa[rows, None] & pb[None, :]
+            both = ka & kb
+            if with_compared:
+                compared[rows] += np.bitwise_count(both)
+            np.bitwise_and(both, ~shared, out=both)
+            differ[rows] += np.bitwise_count(both)
+            if gaps:
+                indel[rows] += np.bitwise_count(ka ^ kb)
     return differ, compared, indel
 
 
+def _tally(code: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes with their weight and count."""
+    if len(code) and code.max() < 1 << 22:
+        count = np.bincount(code)
+        value = np.nonzero(count)[0]
+        total = count if weight is None else np.bincount(code, weights=weight)
+        return value, total[value].astype(np.int64), count[value]
+    value, inverse = np.unique(code, return_inverse=True)
+    count = np.bincount(inverse, minlength=len(value))
+    total = count if weight is None else np.bincount(inverse, weights=weight, minlength=len(value))
+    return value, total.astype(np.int64), count
+
+
 def _blocks_of(row) -> tuple[Block, Block]:
     ids = np.asarray(row.t_ids, dtype=np.int64)
     mult = np.asarray(row.t_ms, dtype=np.int64)
@@ -166,18 +187,20 @@ def pair_histogram(
     ``n`` weights each pair with the product of the copy numbers."""
 
     def per_tile(a: Block, b: Block, diag: bool) -> dict:
-        differ, compared, indel = compare(a, b, include_gaps)
-        d = _distance(differ, indel)
-        pick = np.triu_indices(a.n, 1) if diag else (slice(None), slice(None))
-        weight = np.multiply.outer(a.mult, b.mult)[pick].ravel()
-        d, c = d[pick].ravel(), compared[pick].ravel()
-        if not with_compared:
-            c = np.zeros_like(c)
-        code, inverse = np.unique(d.astype(np.int64) << 32 | c, return_inverse=True)
+        differ, compared, indel = compare(a, b, include_gaps, with_compared)
+        code = _distance(differ, indel).astype(np.int64)
+        base = int(compared.max(initial=0)) + 1 if with_compared else 1
+        if with_compared:
+            code = code * base + compared
+        copies = not ((a.mult == 1).all() and (b.mult == 1).all())
+        weight = np.multiply.outer(a.mult, b.mult) if copies else None
+        if diag:
+            above = np.triu_indices(a.n, 1)
+            code, weight = code[above], weight[above] if copies else None
+        value, n, pairs = _tally(code.ravel(), None if weight is None else weight.ravel())
         return {
-            "hd": (code >> 32).astype(np.int32), "compared": (code & 0xFFFFFFFF).astype(np.int32),
-            "n": np.bincount(inverse, weights=weight, minlength=len(code)).astype(np.int64),
-            "n_pairs": np.bincount(inverse, minlength=len(code)).astype(np.int64),
+            "hd": (value // base).astype(np.int32), "compared": (value % base).astype(np.int32),
+            "n": n, "n_pairs": pairs.astype(np.int64),
         }
 
     parts = _run(df, keys, "hd int, compared int, n bigint, n_pairs bigint", per_tile,
@@ -215,7 +238,7 @@ def centre_sums(
     m^2*d^2 (q0..q2), from which every pair and triple moment follows."""
 
     def per_tile(a: Block, b: Block, diag: bool) -> dict:
-        differ, _, indel = compare(a, b, include_gaps)
+        differ, _, indel = compare(a, b, include_gaps, False)
         d = _distance(differ, indel).astype(np.float64)
         present = np.ones_like(d)
         if diag:
@@ -248,7 +271,7 @@ def nearest_pairs(
     """Distance from each sequence to its nearest other one (lowest number on ties)."""
 
     def per_tile(a: Block, b: Block, diag: bool) -> dict:
-        differ, _, indel = compare(a, b, include_gaps)
+        differ, _, indel = compare(a, b, include_gaps, False)
         d = _distance(differ, indel)
         if diag:
             np.fill_diagonal(d, np.iinfo(np.int32).max)

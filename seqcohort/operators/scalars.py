@@ -185,21 +185,13 @@ def drop_consensus_gap_columns(
     seq: str = "seq", ref: str = "cons",
 ) -> DataFrame:
     """Remove the sites at which the consensus is a gap, from sequences and consensus."""
-    at = ab.chars(F.col(ref))
-
-    def solid(base: Column, i: Column) -> Column:
-        return F.get(F.col("_ref"), i) != "-"
-
+    zipped = F.zip_with(
+        ab.chars(F.col(seq)), ab.chars(F.col(ref)), lambda base, cons: F.when(cons != "-", base).otherwise("")
+    )
     return (
         df.join(consensus.select(*keys, ref), list(keys))
-        .withColumn("_ref", at)
-        .withColumn(
-            seq,
-            F.when(F.instr(ref, "-") > 0, F.array_join(F.filter(ab.chars(F.col(seq)), solid), ""))
-            .otherwise(F.col(seq)),
-        )
+        .withColumn(seq, F.when(F.instr(ref, "-") > 0, F.array_join(zipped, "")).otherwise(F.col(seq)))
         .withColumn(ref, ungap(F.col(ref)))
-        .drop("_ref")
     )
 
 

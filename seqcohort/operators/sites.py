@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqcohort.functions import alphabet as ab
+from seqcohort.session import settle
 
 KEYS = ("sample_id",)
 BLANK = " "
@@ -205,15 +206,13 @@ def informative_subalignment(df: DataFrame, keys: Sequence[str] = KEYS, name: st
     """Each sequence restricted to the informative sites of its sample."""
     chosen = (
         informative_and_private_sites(df, keys, seq).filter("informative")
-        .groupBy(*keys).agg(F.array_sort(F.collect_list("pos")).alias("_at"))
-    )
-    letters = ab.chars(F.col(seq))
-    return (
-        df.join(chosen, list(keys))
-        .withColumn("_c", letters)
-        .withColumn(seq, F.array_join(F.transform("_at", lambda p: F.get(F.col("_c"), p - 1)), ""))
-        .drop("_at", "_c")
+        .groupBy(*keys).agg(F.collect_set("pos").alias("_at"))
     )
+    width = df.groupBy(*keys).agg(F.max(F.length(seq)).alias("_w"))
+    flags = F.transform(F.sequence(F.lit(1), F.col("_w")), lambda p: F.array_contains("_at", p))
+    marks = settle(chosen.join(width, list(keys)).select(*keys, flags.alias("_keep")))
+    kept = F.zip_with(ab.chars(F.col(seq)), F.col("_keep"), lambda base, keep: F.when(keep, base).otherwise(""))
+    return df.join(marks, list(keys)).withColumn(seq, F.array_join(kept, "")).drop("_keep")
 
 
 def site_entropy(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq") -> DataFrame:

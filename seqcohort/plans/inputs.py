@@ -23,9 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_input(df: DataFrame, key: str) -> DataFrame:
+    """Small inputs come as fewer splits than there are cores; those alone are spread out
+    before rows multiply. Inputs of many splits are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def alignment(spark: SparkSession, sf_dir: str, by: str = "part") -> DataFrame:
     text = F.translate(F.regexp_replace("text", "[^A-Za-z.,]", ""), LETTERS, CODES)
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread_input(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id").select(
         "doc_id", "source", "lang",
         F.posexplode(F.regexp_extract_all(text, F.lit(f".{{1,{WIDTH}}}"), F.lit(0))).alias("_i", "_s"),
     )
