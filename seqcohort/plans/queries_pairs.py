@@ -152,7 +152,7 @@ def _(spark, d):
 
 @query("dedup_to_max")
 def _(spark, d):
-    return dd.dedup_to_max(alignment(spark, d, "doc"), 150)
+    return dd.dedup_to_max(alignment(spark, d, "doc"), 400)
 
 
 @query("cluster_by_distance")
