@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from seqcohort.llm import languages, toxicity
 from seqcohort.llm.common import table
 from seqcohort.llm.exact_dedup import exact_dedup
+from seqcohort.llm.mixing import count_tokens, mix, mix_sql, token_rows
+from seqcohort.llm.packing import pack
 from seqcohort.llm.simhash import near_groups
 from seqcohort.llm.token_counts import token_counts
 
@@ -57,6 +59,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(token_rows(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,13 +71,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with equal text, case aside, are duplicates of one another."""
+    items = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "source", F.xxhash64(F.lower("text")).alias("cluster"), count_tokens("text").alias("n_tokens")
+    )
+    return pack(items).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
+    "op5_mix_sources": mix_sql(),
 }
