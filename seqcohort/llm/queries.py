@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from seqcohort.llm import languages, toxicity
 from seqcohort.llm.common import table
 from seqcohort.llm.exact_dedup import exact_dedup
+from seqcohort.llm.hash_forest import nearest
 from seqcohort.llm.mixing import count_tokens, mix, mix_sql, token_rows
 from seqcohort.llm.packing import pack
 from seqcohort.llm.simhash import near_groups
 from seqcohort.llm.token_counts import token_counts
+from seqcohort.llm.warc import round_trip
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT *, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS top FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM g"""
+
+
+def op8_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with equal text, case aside, are duplicates of one another."""
     items = table(spark, sf_dir, "documents").select(
@@ -86,9 +105,12 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
+    "op8_hash_forest": op8_hash_forest,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op5_mix_sources": mix_sql(),
+    "op7_warc": OP7_SQL,
 }
