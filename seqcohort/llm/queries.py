@@ -11,6 +11,7 @@ from seqcohort.llm.exact_dedup import exact_dedup
 from seqcohort.llm.hash_forest import nearest
 from seqcohort.llm.mixing import count_tokens, mix, mix_sql, token_rows
 from seqcohort.llm.packing import pack
+from seqcohort.llm.prefix_free import remove_repeats
 from seqcohort.llm.simhash import near_groups
 from seqcohort.llm.token_counts import token_counts
 from seqcohort.llm.warc import round_trip
@@ -90,6 +91,12 @@ def op8_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op9_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with equal text, case aside, are duplicates of one another."""
     items = table(spark, sf_dir, "documents").select(
@@ -107,6 +114,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_hash_forest": op8_hash_forest,
+    "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {
