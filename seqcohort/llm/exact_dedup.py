@@ -15,7 +15,6 @@ the staying id all stay. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,21 +28,22 @@ from seqcohort.session import settle
 BUCKET_DIGESTS = 100_000
 
 
+def digest_of(text: Column) -> Column:
+    """SHA-256 of the normalised text."""
+
+    @F.arrow_udf("binary")
+    def digest(column: pa.Array) -> pa.Array:
+        # bytes.lower() folds A-Z only
+        return pa.array([hashlib.sha256(raw.lower()).digest() for raw in utf8(column)], pa.binary())
+
+    return digest(text.cast("string"))
+
+
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, digest, n_bytes``: SHA-256 and length of every normalised text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, sizes = [], []
-            for raw in utf8(batch.column(1)):
-                found.append(hashlib.sha256(raw.lower()).digest())  # bytes.lower() folds A-Z only
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], ["id", "digest", "n_bytes"]
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, digest binary, n_bytes long")
+    text = F.col(text_col).cast("string")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), digest_of(text).alias("digest"), size.alias("n_bytes"))
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:

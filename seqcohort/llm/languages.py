@@ -205,33 +205,34 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     return Model(members, names, logs, pairs, weights)
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, lang_pred, score`` for every row."""
+def said_of(model: Model | None, batch: list[str | None]) -> list[tuple[str, float]]:
+    """Prediction of each text; null stands for a text without a letter."""
+    said = [(UNKNOWN, 0.0)] * len(batch)
+    real = [i for i, t in enumerate(batch) if t is not None]
+    if real and model is not None:
+        for i, p in zip(real, model.predict(np.stack([ngram_counts(batch[i]) for i in real]))):
+            said[i] = p
+    return said
+
+
+def prediction(model: Model | None, text: Column) -> Column:
+    """The prediction for ``text`` as a struct of ``lang_pred`` and ``score``."""
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predicted(column: pa.Array) -> pa.Array:
+        found: list[tuple[str, float]] = []
+        for start in range(0, len(column), 256):
+            found += said_of(model, list(texts(column.slice(start, 256))))
+        return pa.StructArray.from_arrays(
+            [pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.float64())], ["lang_pred", "score"]
+        )
+
+    text = text.cast("string")
+    return predicted(F.when(text.rlike(LETTER), text))
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            found: list[tuple[str, float]] = []
-            part: list[str | None] = []
-
-            def flush() -> None:
-                real = [i for i, t in enumerate(part) if t is not None]
-                said = [(UNKNOWN, 0.0)] * len(part)
-                if real and model is not None:
-                    for i, p in zip(real, model.predict(np.stack([ngram_counts(part[i]) for i in real]))):
-                        said[i] = p
-                found.extend(said)
-                part.clear()
-
-            for text in texts(batch.column(1)):
-                part.append(text)
-                if len(part) == 256:
-                    flush()
-            flush()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.float64())],
-                ["id", "lang_pred", "score"],
-            )
 
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.when(text.rlike(LETTER), text).alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double")
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, lang_pred, score`` for every row."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), prediction(model, F.col(text_col)).alias("p")).select(
+        "id", "p.lang_pred", "p.score"
+    )

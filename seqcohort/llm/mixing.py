@@ -34,11 +34,13 @@ def count_tokens(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(TOKEN)).cast("long")
 
 
-def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``id, source, n_tokens`` of every row."""
+def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               mark: Column | None = None) -> DataFrame:
+    """``id, source, n_tokens, mark`` of every row; ``mark`` is a long of the caller's to tell
+    rows of one id apart."""
     return docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"),
-        count_tokens(text_col).alias("n_tokens"),
+        count_tokens(text_col).alias("n_tokens"), (mark if mark is not None else F.lit(None)).cast("long").alias("mark"),
     )
 
 
@@ -78,8 +80,8 @@ def first_bits(digest: Column) -> Column:
 
 def mix(rows: DataFrame, entropy_share: float = 0.95, max_repeats: float = 2.0, budget_share: float = 1.0,
         block_tokens: int = 50_000, seed: str = "mix") -> DataFrame:
-    """``id, source, pass, block, slot, n_tokens, weight, progress``: every occurrence of a
-    document in the mixture of ``rows`` (``id, source, n_tokens``). The budget is
+    """``id, mark, source, pass, block, slot, n_tokens, weight, progress``: every occurrence of a
+    document in the mixture of ``rows`` (as from ``token_rows``). The budget is
     ``budget_share`` of all tokens."""
     rows = settle(rows)
     totals = settle(rows.groupBy("source").agg(
@@ -100,11 +102,11 @@ def mix(rows: DataFrame, entropy_share: float = 0.95, max_repeats: float = 2.0,
     # One row per source on the right; the adaptive join splits a source of very many rows.
     key = hashed(seed, F.col("source"), F.col("id"))
     dealt = rows.join(plan.select("source", "blocks"), "source").select(
-        "id", "source", "n_tokens", key.alias("key"), F.pmod(first_bits(key), F.col("blocks")).alias("block")
+        "id", "mark", "source", "n_tokens", key.alias("key"), F.pmod(first_bits(key), F.col("blocks")).alias("block")
     )
-    inside = Window.partitionBy("source", "block").orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("key", "id", "n_tokens", "mark").rowsBetween(Window.unboundedPreceding, 0)
     dealt = settle(dealt.select(
-        "id", "source", "n_tokens", "block", F.count(F.lit(1)).over(inside).alias("slot"), F.sum("n_tokens").over(inside).alias("through"),
+        "id", "mark", "source", "n_tokens", "block", F.count(F.lit(1)).over(inside).alias("slot"), F.sum("n_tokens").over(inside).alias("through"),
     ))
     runs = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("held")).join(plan, "source").select(
         "source", "block", "held", "weight", "quota", "passes", "rest", "tokens", "blocks",
@@ -126,7 +128,7 @@ def mix(rows: DataFrame, entropy_share: float = 0.95, max_repeats: float = 2.0,
     runs = runs.select("source", "block", "pass", "weight", "passes", "rest", before.alias("before"), done.alias("progress"))
     return dealt.join(runs, ["source", "block"]).filter(
         (F.col("pass") < F.col("passes")) | (F.col("before") + F.col("through") <= F.col("rest"))
-    ).select("id", "source", F.col("pass").alias("pass"), "block", "slot", "n_tokens", "weight", "progress")
+    ).select("id", "mark", "source", "pass", "block", "slot", "n_tokens", "weight", "progress")
 
 
 def mix_sql(entropy_share: float = 0.95, max_repeats: float = 2.0, budget_share: float = 1.0,

@@ -63,7 +63,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(token_rows(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+    return mix(token_rows(table(spark, sf_dir, "documents"))).drop("mark").withColumnRenamed("id", "doc_id")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

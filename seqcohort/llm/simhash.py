@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqcohort.llm.common import bucket, partitions_for, utf8
@@ -75,16 +75,21 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(bits.view(">u8")[0])
 
 
-def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``id, fp`` of every row; fp holds the 64 bits as a signed long."""
+def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
+                     mark: Column | None = None) -> DataFrame:
+    """``id, mark, fp`` of every row; fp holds the 64 bits as a signed long. ``mark`` is a long of
+    the caller's to tell rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(t, width) for t in utf8(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["id", "mark", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    own = mark if mark is not None else F.lit(None)
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), own.cast("long").alias("mark")
+    )
+    return rows.mapInArrow(run, "id long, mark long, fp long")
 
 
 def bucket_links(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,17 +164,19 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, part_rows: int = 50_00
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
-                radius: int = 4) -> DataFrame:
-    """``id, fp, component_id``: for every row the smallest id reachable over links, its own
-    included. Null ids are smaller than none: a component of null ids only has a null."""
-    rows = settle(fingerprint_rows(docs, id_col, text_col, width))
+                radius: int = 4, mark: Column | None = None) -> DataFrame:
+    """``id, mark, fp, component_id, root``: for every row the smallest id reachable over links,
+    its own included, and the fingerprint that names its component. Null ids are passed over:
+    only a component of null ids has a null."""
+    rows = settle(fingerprint_rows(docs, id_col, text_col, width, mark))
     prints = settle(rows.groupBy("fp").agg(F.min("id").alias("low")))
     roots = settle(components(fingerprint_links(prints.select("fp"), radius)).withColumnRenamed("node", "fp"))
     lows = roots.join(prints, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = roots.join(lows, "root").select("fp", "component_id", F.lit(True).alias("in_link"))
+    linked = roots.join(lows, "root").select("fp", "component_id", "root")
     ids = prints.join(linked, "fp", "left").select(
-        "fp", F.when(F.col("in_link"), F.col("component_id")).otherwise(F.col("low")).alias("component_id")
+        "fp", F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("low")).alias("component_id"),
+        F.coalesce("root", "fp").alias("root"),
     )
     # One row per fingerprint on the right: a fingerprint of very many rows is split by the
     # adaptive join.
-    return rows.join(ids, "fp").select("id", "fp", "component_id")
+    return rows.join(ids, "fp").select("id", "mark", "fp", "component_id", "root")
