@@ -138,17 +138,17 @@ def distance_dedup(df: DataFrame, threshold: int = 0, keys: Sequence[str] = KEYS
                    seq: str = "seq", include_gaps: bool = True) -> DataFrame:
     """Removed sequences with their representative: (keys, idx, rep).
 
-    Byte-identical copies always go to the first of them, so the distance work runs on
-    unique sequences only and the copies are mapped through afterwards.
+    Sequences that read the same (upper and lower case, ``?`` and ``-``) always go to the
+    first of them, so the distance work runs on distinct ones only and the others are mapped
+    through afterwards. At threshold 0 with gaps counted, two distinct sequences can only be
+    equal through an ambiguity code, so only those with one are compared with the others;
+    what is decided for a sequence never depends on unrelated rows.
     """
     keys = list(keys)
-    if threshold == 0 and include_gaps:
-        # unknown sites on both sides never count, so ambiguity codes still need the pairs
-        odd = df.filter(F.col(seq).rlike("[^acgtACGT-]")).limit(1)
-        if odd.isEmpty():
-            return _copies(df, keys, idx, seq)
+    df = df.withColumn(seq, F.translate(F.lower(seq), "?", "-"))
     unique = settle(df.groupBy(*keys, seq).agg(F.min(idx).alias(idx)))
-    edges = pr.near_pairs(unique, threshold, keys, idx, seq, include_gaps)
+    focus = F.col(seq).rlike("[^acgt-]") if threshold == 0 and include_gaps else None
+    edges = pr.near_pairs(unique, threshold, keys, idx, seq, include_gaps, focus=focus)
     removed = settle(greedy_absorb(edges, keys))
     copies = _copies(df, keys, idx, seq)
     through = copies.join(

@@ -210,72 +210,86 @@ def stepwise(forced: Sequence[int]):
     return search
 
 
-def lasso_descend(xx: np.ndarray, xy: np.ndarray, n: np.ndarray, free: Sequence[int], lam: float, beta: np.ndarray) -> np.ndarray:
+def lasso_descend(xx: np.ndarray, xy: np.ndarray, n: np.ndarray, free: Sequence[int], lam: float, beta: np.ndarray,
+                  sweeps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """Coordinate descent on sums of products, for a stack of problems at once; ``free``
-    columns carry no penalty, the others are penalised on their own scale."""
+    columns carry no penalty, the others are penalised on their own scale. Also returns
+    which problems settled within ``sweeps``."""
     own = np.maximum(np.einsum("bjj->bj", xx), 1e-300)
     scale = np.sqrt(own / n[:, None])
     beta = beta.copy()
-    for _ in range(300):
-        largest = 0.0
+    for _ in range(sweeps):
+        largest = np.zeros(len(beta))
         for j in range(xy.shape[1]):
             r = xy[:, j] - np.einsum("bk,bk->b", xx[:, j], beta) + own[:, j] * beta[:, j]
             limit = 0.0 if j in free else n * lam * scale[:, j]
             new = np.where(own[:, j] > 1e-12, np.sign(r) * np.maximum(np.abs(r) - limit, 0.0) / own[:, j], 0.0)
-            largest = max(largest, float(np.abs((new - beta[:, j]) * scale[:, j]).max()))
+            largest = np.maximum(largest, np.abs((new - beta[:, j]) * scale[:, j]))
             beta[:, j] = new
-        if largest < 1e-8:
+        if largest.max(initial=0.0) < 1e-8:
             break
-    return beta
+    return beta, largest < 1e-8
+
+
+def _lasso_fold(left: np.ndarray, group: int, sums: list, p: int, free: Sequence[int], n_lambda: int) -> tuple[np.ndarray, bool]:
+    """Coefficients of one fold. ``left``: its sums of products without its person, packed as
+    xx, xy, yy, n; ``sums``: number of persons and summed packs of every inner group."""
+    parts = lambda v: (v[: p * p].reshape(p, p), v[p * p : p * p + p], v[-2], v[-1])
+    persons = sum(c for _, c, _ in sums)
+    xx, xy, _, n = parts(left)
+    base = solve_normal(xx, xy, set(range(p)) - set(free))
+    scale = np.sqrt(np.maximum(np.diag(xx) / max(n, 1.0), 1e-300))
+    top = np.max(np.abs(xy - xx @ base) / (max(n, 1.0) * scale), initial=1e-12)
+    grid = top * np.logspace(0, -3, n_lambda)
+    pick = n_lambda - 1
+    if persons > 1:
+        total = sum(v for _, _, v in sums) / (persons - 1)
+        held = [c * total - v - ((total - left) if g == group else 0.0) for g, c, v in sums]
+        held = [h for h in held if h[-1] > 0.5 and left[-1] - h[-1] > 0.5]
+        if held:
+            own = [parts(h) for h in held]
+            inner = [parts(left - h) for h in held]
+            a, b, m = (np.stack([x[i] for x in inner]) for i in (0, 1, 3))
+            beta, error = np.tile(base, (len(held), 1)), np.zeros(n_lambda)
+            for i, lam in enumerate(grid):
+                beta, _ = lasso_descend(a, b, m, free, lam, beta)
+                error[i] = sum(yy - 2 * be @ y1 + be @ x2 @ be for be, (x2, y1, yy, _) in zip(beta, own))
+            pick = int(error.argmin())
+    beta, fine = base[None, :], np.ones(1, bool)
+    for lam in grid[: pick + 1]:
+        beta, fine = lasso_descend(xx[None], xy[None], np.array([max(n, 1.0)]), free, lam, beta)
+    return beta[0], bool(fine[0])
 
 
 def lasso_coefficients(stats: DataFrame, free: Sequence[int], person: str = "ptid", keys: Sequence[str] = ("estimator",),
-                       n_lambda: int = 30) -> DataFrame:
-    """L1 fit per key and held-out person. The penalty is chosen by leaving out each other
-    person in turn: those inner sums follow from the fold sums. A group holds one row of
-    sums per person, so the number of persons bounds it; large cohorts pass a fold number
-    as ``person``."""
+                       n_lambda: int = 30, inner_folds: int = 10) -> DataFrame:
+    """L1 fit per key and held-out person: ``beta`` and whether it ``converged``. The penalty
+    is chosen by leaving out the other persons in ``inner_folds`` groups (by a hash of the
+    person); every group's sums of products follow from the folds' own. A row is one fold with
+    the sums of these few groups, so folds are spread like rows and none sees all persons."""
     keys = list(keys)
-    kinds = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in [*keys, person])
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(person)
-        xx = np.stack([_arrays(a, b)[0] for a, b in zip(g["xx"], g["xy"])])
-        xy = np.stack([np.asarray(b, dtype=float) for b in g["xy"]])
-        yy, n = g["yy"].to_numpy(float), g["n"].to_numpy(float)
-        k = len(g)
-        if k > 1:
-            total = {"xx": xx.sum(0) / (k - 1), "xy": xy.sum(0) / (k - 1), "n": n.sum() / (k - 1), "yy": yy.sum() / (k - 1)}
-        else:
-            total = {"xx": xx[0], "xy": xy[0], "n": n[0], "yy": yy[0]}
-        own_xx, own_xy, own_n, own_yy = total["xx"] - xx, total["xy"] - xy, total["n"] - n, total["yy"] - yy
+    packed = settle(stats.select(
+        *keys, person, F.size("xy").alias("_p"), F.concat("xx", "xy", F.array("yy", "n")).alias("_v"),
+        F.pmod(F.xxhash64(person), F.lit(inner_folds)).cast("int").alias("_g"),
+    ))
+    cells = packed.select(*keys, "_g", F.posexplode("_v").alias("_at", "_x")).groupBy(*keys, "_g", "_at").agg(
+        F.sum("_x").alias("_x"), F.count(F.lit(1)).alias("_c")
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda c: c["_x"])
+    groups = cells.groupBy(*keys, "_g").agg(F.max("_c").alias("c"), ordered.alias("v")).groupBy(*keys).agg(
+        F.collect_list(F.struct(F.col("_g").alias("g"), "c", "v")).alias("_sums")
+    )
+
+    @F.pandas_udf("struct<beta:array<double>,converged:boolean>")
+    def fit(size: pd.Series, left: pd.Series, group: pd.Series, sums: pd.Series) -> pd.DataFrame:
         out = []
-        for f in range(k):
-            scale = np.sqrt(np.maximum(np.diag(xx[f]) / n[f], 1e-300))
-            base = solve_normal(xx[f], xy[f], set(range(len(xy[f]))) - set(free))
-            top = np.max(np.abs(xy[f] - xx[f] @ base) / (n[f] * scale), initial=1e-12)
-            grid = top * np.logspace(0, -3, n_lambda)
-            inner = np.array([h for h in range(k) if h != f and n[f] - own_n[h] > 0], dtype=int)
-            pick = n_lambda - 1
-            if len(inner):
-                a, b, m = xx[f] - own_xx[inner], xy[f] - own_xy[inner], n[f] - own_n[inner]
-                beta = np.tile(base, (len(inner), 1))
-                error = np.zeros(n_lambda)
-                for i, lam in enumerate(grid):
-                    beta = lasso_descend(a, b, m, free, lam, beta)
-                    error[i] = (
-                        own_yy[inner] - 2 * (beta * own_xy[inner]).sum(1)
-                        + np.einsum("bi,bij,bj->b", beta, own_xx[inner], beta)
-                    ).sum()
-                pick = int(error.argmin())
-            beta = base[None, :]
-            for lam in grid[: pick + 1]:
-                beta = lasso_descend(xx[f][None], xy[f][None], n[f : f + 1], free, lam, beta)
-            beta = beta[0]
-            out.append(beta.tolist())
-        return g[[*keys, person]].assign(beta=out)
+        for p, v, g, own in zip(size, left, group, sums):
+            others = [(int(s["g"]), int(s["c"]), np.asarray(s["v"], float)) for s in own]
+            out.append(_lasso_fold(np.asarray(v, float), int(g), others, int(p), free, n_lambda))
+        return pd.DataFrame({"beta": [b.tolist() for b, _ in out], "converged": [c for _, c in out]})
 
-    return spread(stats, *keys).groupBy(*keys).applyInPandas(fit, f"{kinds}, beta array<double>")
+    folds = spread(packed, *keys, person).join(groups, keys)
+    return folds.select(*keys, person, fit("_p", "_v", "_g", "_sums").alias("_f")).select(*keys, person, "_f.beta", "_f.converged")
 
 
 def predict(df: DataFrame, coefficients: DataFrame, terms: Sequence[str], person: str = "ptid",
@@ -308,18 +322,40 @@ def lopo_lasso_predictions(df: DataFrame, y: str, terms: Sequence[str], person:
     return predict(df, coefficients, terms, person, keys)
 
 
-def lopo_logistic_predictions(df: DataFrame, y: str, terms: Sequence[str], person: str = "ptid",
-                              keys: Sequence[str] = ("estimator",), rounds: int = 12, ridge: float = 1e-8) -> DataFrame:
-    """Binomial regression with each person left out, by Newton steps shared by all folds:
-    a step is one aggregate of rows x folds, combined on the map side, so no fold's rows
-    are gathered. Coefficients are one short row per (key, person)."""
+def logistic_coefficients(df: DataFrame, y: str, terms: Sequence[str], person: str = "ptid", keys: Sequence[str] = ("estimator",),
+                          rounds: int = 50, ridge: float = 1e-8, row_block: int = 8192, fold_block: int = 1024) -> DataFrame:
+    """Binomial regression with each person left out: ``beta`` per key and person, and
+    whether its Newton steps ``converged`` within ``rounds``.
+
+    Rows and folds are cut into blocks by a hash; a task meets one block of rows with one
+    block of fold coefficients, forms the gradients and curvatures of all its folds as matrix
+    products, and returns one short row per fold. Nothing is joined on the key alone."""
     keys = list(keys)
     _, cols = design(terms)
     p = len(cols)
     rows = settle(df.dropna(subset=[y, *terms]).select(
-        *keys, F.col(person).alias("_own"), F.col(y).cast("double").alias("_y"), F.array(*cols).alias("_x")))
-    folds = rows.select(*keys, F.col("_own").alias(person)).distinct()
-    beta = settle(folds.withColumn("beta", F.array(*[F.lit(0.0)] * p)))
+        *keys, F.col(person).alias("_own"), F.xxhash64(person).alias("_o"), F.col(y).cast("double").alias("_y"), F.array(*cols).alias("_x")))
+    folds = settle(rows.select(*keys, F.col("_own").alias(person), F.col("_o").alias("_p")).distinct())
+    beta = folds.select(*keys, person, "_p", F.array(*[F.lit(0.0)] * p).alias("beta"), F.lit(False).alias("converged"))
+    n_rows, n_folds = max(1, -(-rows.count() // row_block)), max(1, -(-folds.count() // fold_block))
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    names = [f"_g{i}" for i in range(p)] + [f"_h{i}_{j}" for i, j in upper]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_rb", F.pmod(F.xxhash64("_o", "_y", "_x"), F.lit(n_rows)).cast("int")).withColumn("_fb", each(n_folds))
+    left = left.select(*keys, "_rb", "_fb", "_o", "_y", "_x")
+
+    def sums(r: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if not len(r) or not len(f):
+            return pd.DataFrame({c: [] for c in ["_p", *names]}).astype({"_p": "int64"})
+        x, b = np.stack(r["_x"].to_numpy()), np.stack(f["beta"].to_numpy())
+        mu = 1 / (1 + np.exp(-np.clip(x @ b.T, -30, 30)))
+        others = r["_o"].to_numpy()[:, None] != f["_p"].to_numpy()[None, :]
+        gap = (r["_y"].to_numpy()[:, None] - mu) * others
+        curve = mu * (1 - mu) * others
+        out = {"_p": f["_p"].to_numpy()}
+        out |= {f"_g{i}": gap.T @ x[:, i] for i in range(p)}
+        out |= {f"_h{i}_{j}": curve.T @ (x[:, i] * x[:, j]) for i, j in upper}
+        return pd.DataFrame(out)
 
     @F.pandas_udf("array<double>")
     def step(beta: pd.Series, grad: pd.Series, hess: pd.Series) -> pd.Series:
@@ -333,27 +369,29 @@ def lopo_logistic_predictions(df: DataFrame, y: str, terms: Sequence[str], perso
             out.append((np.asarray(b, float) + move * min(1.0, 25.0 / size if size > 0 else 1.0)).tolist())
         return pd.Series(out)
 
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    schema = "_p long, " + ", ".join(f"{c} double" for c in names)
     for _ in range(rounds):
-        each = rows.join(beta, keys).filter(F.col("_own") != F.col(person))
-        eta = sum((F.col("beta")[i] * F.col("_x")[i] for i in range(p)), F.lit(0.0))
-        mu = 1 / (1 + F.exp(-F.greatest(F.least(eta, F.lit(30.0)), F.lit(-30.0))))
-        each = each.withColumn("_mu", mu)
-        w = F.col("_mu") * (1 - F.col("_mu"))
-        sums = each.groupBy(*keys, person).agg(
-            F.max("beta").alias("beta"),
-            *[F.sum((F.col("_y") - F.col("_mu")) * F.col("_x")[i]).alias(f"_g{i}") for i in range(p)],
-            *[F.sum(w * F.col("_x")[i] * F.col("_x")[j]).alias(f"_h{i}_{j}") for i, j in upper],
+        right = beta.select("*", F.pmod("_p", F.lit(n_folds)).cast("int").alias("_fb")).withColumn("_rb", each(n_rows))
+        right = right.select(*keys, "_rb", "_fb", "_p", "beta")
+        parts = left.groupBy(*keys, "_rb", "_fb").cogroup(right.groupBy(*keys, "_rb", "_fb")).applyInPandas(
+            lambda key, r, f: sums(r, f).assign(**dict(zip(keys, key))), schema + "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
         )
+        total = parts.groupBy(*keys, "_p").agg(*[F.sum(c).alias(c) for c in names])
         hess = F.array(*[F.col(f"_h{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)])
-        fresh = settle(sums.select(*keys, person, F.col("beta").alias("_old"), step(
-            F.col("beta"), F.array(*[F.col(f"_g{i}") for i in range(p)]), hess).alias("beta")))
-        moved = F.exists(F.zip_with("_old", "beta", lambda a, b: F.abs(a - b) > 1e-9 * (1 + F.abs(b))), lambda t: t)
-        done = fresh.filter(moved).isEmpty()
-        beta = fresh.drop("_old")
-        if done:
+        fresh = beta.join(total, [*keys, "_p"]).select(
+            *keys, person, "_p", F.col("beta").alias("_old"), step("beta", F.array(*names[:p]), hess).alias("beta")
+        )
+        still = F.exists(F.zip_with("_old", "beta", lambda a, b: F.abs(a - b) > 1e-9 * (1 + F.abs(b))), lambda t: t)
+        beta = settle(fresh.select(*keys, person, "_p", "beta", (~still).alias("converged")))
+        if beta.filter("NOT converged").isEmpty():
             break
-    out = predict(df, beta, terms, person, keys)
+    return beta.drop("_p")
+
+
+def lopo_logistic_predictions(df: DataFrame, y: str, terms: Sequence[str], person: str = "ptid",
+                              keys: Sequence[str] = ("estimator",), rounds: int = 50) -> DataFrame:
+    """Held-out probabilities of the binomial regression."""
+    out = predict(df, logistic_coefficients(df, y, terms, person, keys, rounds), terms, person, keys)
     return out.withColumn("prediction", 1 / (1 + F.exp(-F.greatest(F.least("prediction", F.lit(30.0)), F.lit(-30.0)))))
 
 

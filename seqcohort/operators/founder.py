@@ -14,6 +14,7 @@ from seqcohort.functions import formulas as fm
 from seqcohort.functions import tails
 from seqcohort.operators import dedup as dd
 from seqcohort.operators import pairs as pr
+from seqcohort.operators.ranks import exact_quantiles, running_totals
 from seqcohort.session import settle, spread
 
 KEYS = ("sample_id",)
@@ -189,6 +190,7 @@ def distance_sd_ustat(centres: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
     one row per sequence is aggregated. Fewer than four sequences give NULL.
     """
     keys = list(keys)
+    centres = settle(centres)  # used twice; it comes from the pass over all pairs
     copies = fm.choose2(F.col("m"))
     mean = centres.groupBy(*keys).agg(
         F.sum("m").alias("nseq"),
@@ -228,10 +230,12 @@ def days_confidence_interval(lam: Column, sd: Column, nbases: Column) -> list[Co
 
 
 def star_convolution(cons_hist: DataFrame, pair_hist: DataFrame, keys: Sequence[str] = KEYS,
-                     tolerance: float = 0.1) -> DataFrame:
+                     tolerance: float = 0.1, beyond_reach: bool = True) -> DataFrame:
     """Pair histogram expected under a star phylogeny (the consensus histogram convolved
     with itself) against the observed one. Joins bins, of which a sample has no more than
-    sites. All distances zero: not evaluated (NULL)."""
+    sites. Nothing is expected beyond twice the largest consensus distance: pairs observed
+    there count as gap, unless ``beyond_reach`` is false, which leaves them out as the
+    surveyed pipeline does. All distances zero: not evaluated (NULL)."""
     keys = list(keys)
     cons_hist, pair_hist = settle(cons_hist), settle(pair_hist)
     left = cons_hist.select(*keys, F.col("hd").alias("_a"), F.col("n").alias("_na"))
@@ -245,13 +249,11 @@ def star_convolution(cons_hist: DataFrame, pair_hist: DataFrame, keys: Sequence[
     top = pair_hist.groupBy(*keys).agg(F.max("hd").alias("max_hd"))
     both = conv.join(pair_hist.select(*keys, "hd", F.col("n").alias("obs")), [*keys, "hd"], "full_outer").join(top, keys)
     gap = F.abs(F.coalesce("obs", F.lit(0)) - F.coalesce("conv", F.lit(0.0)))
-    # observed bins end at the largest observed distance, expected ones at twice the
-    # largest consensus distance
     reach = cons_hist.groupBy(*keys).agg((2 * F.max("hd") + 1).alias("reach"))
     check = both.join(reach, keys).groupBy(*keys).agg(
         F.max("max_hd").alias("max_hd"),
         F.try_divide(
-            F.sum(F.when((F.col("hd") <= F.col("max_hd")) & (F.col("hd") <= F.col("reach")), gap).otherwise(0.0)),
+            F.sum(F.when((F.col("hd") <= F.col("max_hd")) & (F.lit(beyond_reach) | (F.col("hd") <= F.col("reach"))), gap).otherwise(0.0)),
             F.sum("conv"),
         ).alias("check"),
     )
@@ -261,9 +263,6 @@ def star_convolution(cons_hist: DataFrame, pair_hist: DataFrame, keys: Sequence[
     )
 
 
-MAX_BINS = 170  # Fixed value: bins beyond this are not used in the goodness of fit.
-
-
 def _log_sum_terms(dim: int, rate: float) -> np.ndarray:
     """Matrix of the two combinatorial sums in the covariance of pair counts that share
     one sequence, for all bin pairs at once."""
@@ -282,15 +281,18 @@ def _log_sum_terms(dim: int, rate: float) -> np.ndarray:
     return total
 
 
-def chi_square(cons: np.ndarray, observed: np.ndarray) -> tuple[float, float, float]:
-    """(statistic, df, p) of observed pair counts against the Poisson model fitted to the
-    consensus counts; both arrays are indexed by distance."""
+def chi_square(cons: np.ndarray, observed: np.ndarray) -> tuple[float, float, float, float]:
+    """(statistic, df, p, pairs outside) of observed pair counts against the Poisson model fitted to the
+    consensus counts; both arrays are indexed by distance. Every bin of either takes part:
+    counts are in logarithms, so that their number is not limited. Bins that the model all but
+    rules out have no usable variance (the inverse is a pseudo-inverse); the pairs observed in
+    them are counted as outside, and a fit with such pairs gets the smallest p."""
     nseq = cons.sum()
     width = len(cons)
     rate = (np.arange(width) * cons).sum() / nseq
     if rate <= 0 or not observed[1:].any():
-        return np.nan, np.nan, 0.0
-    dim = min(MAX_BINS, 2 * width)
+        return np.nan, np.nan, 0.0, 0.0
+    dim = max(2 * width, len(observed))
     x = np.arange(dim)
     lf = tails.lgamma(x + 1.0)
     pairs = np.exp(2 * np.log(nseq) + x * np.log(2 * rate) - 2 * rate - lf)
@@ -303,12 +305,13 @@ def chi_square(cons: np.ndarray, observed: np.ndarray) -> tuple[float, float, fl
     keep = s > 1e-4
     inverse = (u[:, keep] / s[keep]) @ vt[keep]
     y = np.zeros(dim)
-    y[: min(dim, len(observed))] = observed[:dim]
+    y[: len(observed)] = observed
     gap = np.abs(y - 0.5 * pairs)
     stat = float(gap @ inverse @ gap)
     df = width - 1
-    p = 2e-16 if stat < 0 else max(tails.chi2_sf(stat, df), 2e-16)
-    return (tails.chi2_isf(2e-16, df) if stat < 0 else stat), float(df), p
+    outside = float(y[np.diag(cov) <= 1e-4].sum())
+    p = 2e-16 if stat < 0 or outside else max(tails.chi2_sf(stat, df), 2e-16)
+    return (tails.chi2_isf(2e-16, df) if stat < 0 else stat), float(df), p, outside
 
 
 def poisson_goodness(cons_hist: DataFrame, pair_hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -328,14 +331,14 @@ def poisson_goodness(cons_hist: DataFrame, pair_hist: DataFrame, keys: Sequence[
             counts[part["hd"].to_numpy()] = part["n"].to_numpy()
             dense.append(counts)
         if dense[0].sum() == 0 or dense[1].sum() == 0:
-            stat, df, p = np.nan, np.nan, np.nan
+            stat, df, p, outside = np.nan, np.nan, np.nan, np.nan
         else:
-            stat, df, p = chi_square(*dense)
+            stat, df, p, outside = chi_square(*dense)
         out = bins[keys].iloc[:1].copy()
-        return out.assign(chi2=[stat], df=[df], p=[p])
+        return out.assign(chi2=[stat], df=[df], p=[p], n_outside=[outside])
 
-    fitted = spread(both, *keys).groupBy(*keys).applyInPandas(fit, f"{kinds}, chi2 double, df double, p double")
-    tidy = {c: F.nanvl(c, F.lit(None)) for c in ("chi2", "df", "p")}
+    fitted = spread(both, *keys).groupBy(*keys).applyInPandas(fit, f"{kinds}, chi2 double, df double, p double, n_outside double")
+    tidy = {c: F.nanvl(c, F.lit(None)) for c in ("chi2", "df", "p", "n_outside")}
     return fitted.withColumns(tidy).withColumn("is_poisson", F.col("p") > 0.05)
 
 
@@ -353,8 +356,9 @@ def degenerate_sample_rule(fit: DataFrame, max_hd: str = "max_hd") -> DataFrame:
 # --- star rate test ---------------------------------------------------------------------
 
 
-def shrink_histogram(hist: DataFrame, keys: Sequence[str] = KEYS, size: int = 2500) -> DataFrame:
-    """Histograms of more than ``size`` observations scaled down to about that many."""
+def shrink_histogram(hist: DataFrame, size: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Histograms of more than ``size`` observations scaled down to about that many; bins
+    that round to nothing are lost, so no other operator uses it unasked."""
     total = hist.groupBy(*keys).agg(F.sum("n").alias("_t"))
     scaled = F.bround(F.lit(float(size)) * F.col("n") / F.col("_t"), 0).cast("bigint")
     return (
@@ -371,19 +375,21 @@ def star_rate_test(cons_hist: DataFrame, pair_hist: DataFrame, keys: Sequence[st
     draw per observation, with an exponential width of rate n. Shares of draws in which
     the intervals nest (P), are disjoint (Q) or neither (R); the star fits below ``limit``.
 
+    The largest of all observations' draws is drawn from its own distribution, so that their
+    number costs nothing and none is left out.
+
     The generator is seeded from the sample key, so results do not depend on partitioning.
     """
     keys = list(keys)
-    both = shrink_histogram(cons_hist, keys).select(*keys, F.lit(0).alias("kind"), "hd", "n").unionByName(
-        shrink_histogram(pair_hist, keys).select(*keys, F.lit(1).alias("kind"), "hd", "n")
+    both = cons_hist.select(*keys, F.lit(0).alias("kind"), "hd", "n").unionByName(
+        pair_hist.select(*keys, F.lit(1).alias("kind"), "hd", "n")
     ).withColumn("_seed", F.xxhash64(*keys, F.lit(seed)))
     kinds = ", ".join(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in keys)
 
     def interval(rng: np.random.Generator, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        top = np.zeros(draws)
-        for hd, n in zip(part["hd"], part["n"]):
-            if hd > 0:
-                top = np.maximum(top, rng.gamma(hd, size=(draws, int(n))).max(axis=1))
+        far = part[part["hd"] > 0]
+        u = 1 - rng.random(draws)
+        top = tails.largest_gamma(far["hd"].to_numpy(), far["n"].to_numpy(float), u) if len(far) else np.zeros(draws)
         return top, top + rng.exponential(1 / part["n"].sum(), draws)
 
     def test(bins: pd.DataFrame) -> pd.DataFrame:
@@ -423,8 +429,6 @@ def fixed_size_subset(df: DataFrame, size: int, keys: Sequence[str] = KEYS, name
 
     A cut-off taken from per-bucket counts keeps hot samples out of a single window.
     """
-    from seqcohort.operators.ranks import running_totals
-
     hashed = df.withColumn("_h", F.xxhash64(name))
     ranked = running_totals(hashed.withColumn("_one", F.lit(1).cast("bigint")), keys, "_h", ["_one"])
     chosen = ranked.filter(F.col("_one_through") <= size).select(*keys, "_h")
@@ -435,7 +439,9 @@ def pairwise_diversity(unique: DataFrame, keys: Sequence[str] = KEYS, idx: str =
                        mult: str = "mult", jukes_cantor: bool = False) -> DataFrame:
     """Spread of pairwise per-site distances over all pairs, from the histogram of
     (differences, sites compared): quantiles over at most sites^2 weighted values. Pairs
-    that share no site are left out."""
+    that share no site are left out. The Jukes-Cantor distance is infinite for pairs that
+    differ at three quarters of their sites or more; ``n_saturated`` counts those beside
+    the ``n_pairs`` of the statistics."""
     keys = list(keys)
     width = unique.groupBy(*keys).agg(F.max(F.length(seq)).alias("_w"))
     between = pr.pair_histogram(unique, keys, idx, seq, mult, with_compared=True).select(*keys, "hd", "compared", "n")
@@ -446,19 +452,24 @@ def pairwise_diversity(unique: DataFrame, keys: Sequence[str] = KEYS, idx: str =
     ).select(*keys, F.lit(0).alias("hd"), "compared", "n")
     p = F.col("hd") / F.col("compared")
     dist = F.when(p < 0.75, -0.75 * F.ln(1 - 4 * p / 3)) if jukes_cantor else p
-    rows = between.unionByName(copies).filter("compared > 0 AND n > 0").withColumn("d", dist).filter("d IS NOT NULL")
-    combined = rows.groupBy(*keys, "d").agg(F.sum("n").alias("n"))
-    q = F.percentile("d", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col("n"))
+    combined = settle(
+        between.unionByName(copies).filter("compared > 0 AND n > 0").withColumn("d", dist).groupBy(*keys, "d").agg(
+            F.sum("n").alias("n"))
+    )
+    probs, names = (0.0, 0.25, 0.5, 0.75, 1.0), ("min", "q1", "median", "q3", "max")
+    quantiles = exact_quantiles(combined, keys, "d", probs, names, weight="n")
+    known_n = F.when(F.col("d").isNotNull(), F.col("n"))
     s = combined.groupBy(*keys).agg(
-        F.sum("n").alias("n_pairs"), F.sum(F.col("d") * F.col("n")).alias("_s1"),
-        F.sum(F.col("d") * F.col("d") * F.col("n")).alias("_s2"), q.alias("_q"),
+        F.coalesce(F.sum(known_n), F.lit(0)).alias("n_pairs"), F.sum(F.when(F.col("d").isNull(), F.col("n")).otherwise(0)).alias("n_saturated"),
+        F.sum(F.col("d") * F.col("n")).alias("_s1"), F.sum(F.col("d") * F.col("d") * F.col("n")).alias("_s2"),
     )
-    n, mean = F.col("n_pairs"), F.col("_s1") / F.col("n_pairs")
+    n = F.col("n_pairs")
+    mean = F.try_divide("_s1", n)
     variance = F.try_divide(F.greatest(F.col("_s2") - n * mean * mean, F.lit(0.0)), n - 1)
     nseq = unique.groupBy(*keys).agg(F.sum(mult).alias("num_seqs"))
-    return s.join(nseq, keys).select(
-        *keys, "num_seqs", "n_pairs", mean.alias("mean"), F.sqrt(variance / n).alias("sem"),
-        *[F.col("_q")[i].alias(c) for i, c in enumerate(("min", "q1", "median", "q3", "max"))],
+    return s.join(nseq, keys).join(quantiles, keys, "left").select(
+        *keys, "num_seqs", "n_pairs", mean.alias("mean"), F.sqrt(F.try_divide(variance, n)).alias("sem"), *names,
+        *(["n_saturated"] if jukes_cantor else []),
     )
 
 

@@ -28,21 +28,36 @@ BLOCK_CHARS = 1 << 23
 FLUSH_ROWS = 200_000
 
 
-def _tiles(df: DataFrame, keys: Sequence[str], idx: str, seq: str, mult: str | None, block_rows: int) -> DataFrame:
+def _tiles(df: DataFrame, keys: Sequence[str], idx: str, seq: str, mult: str | None, block_rows: int,
+           focus: Column | None = None) -> DataFrame:
+    """One row per tile. With ``focus`` (a condition) only pairs that have at least one such
+    row are looked at: the rows in focus get blocks of their own, numbered first, and the
+    others meet those blocks only."""
     rows = df.select(
         *keys,
         F.col(idx).cast("bigint").alias("_idx"),
         F.col(seq).alias("_seq"),
         (F.col(mult) if mult else F.lit(1)).cast("bigint").alias("_m"),
+        (focus if focus is not None else F.lit(True)).alias("_f"),
     )
-    by_rows = F.count(F.lit(1)) / block_rows
-    by_text = F.sum(F.length("_seq").cast("bigint")) / BLOCK_CHARS
+
+    def blocks(mine: Column) -> Column:
+        by_rows = F.count_if(mine) / block_rows
+        by_text = F.sum(F.when(mine, F.length("_seq").cast("bigint"))) / BLOCK_CHARS
+        return F.ceil(F.greatest(by_rows, F.coalesce(by_text, F.lit(0)))).cast("int")
+
     sizes = rows.groupBy(*keys).agg(
-        F.ceil(F.greatest(by_rows, by_text)).cast("int").alias("_blocks")
-    )
-    own = F.pmod(F.xxhash64("_idx"), F.col("_blocks")).cast("int")
+        blocks(F.col("_f")).alias("_first"), blocks(~F.col("_f")).alias("_rest"),
+        F.min(F.length("_seq")).alias("_short"), F.max(F.length("_seq")).alias("_long"),
+    ).filter("_first > 0")
+    same = F.when(F.col("_short") != F.col("_long"), F.raise_error(F.lit("sequences of one group differ in length")).cast("int"))
+    sizes = sizes.withColumn("_first", F.coalesce(same, F.col("_first"))).drop("_short", "_long")
+    own = F.when(F.col("_f"), F.pmod(F.xxhash64("_idx"), F.col("_first"))).otherwise(
+        F.col("_first") + F.pmod(F.xxhash64("_idx"), F.col("_rest"))
+    ).cast("int")
     placed = rows.join(sizes, list(keys)).withColumn("_own", own)
-    copies = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = F.col("_first") + F.when(F.col("_f"), F.col("_rest")).otherwise(0)
+    copies = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), met - 1)))
     # binary text keeps the Arrow transfer free of per-string conversion
     member = F.struct(
         (F.col("_own") == F.col("_lo")).alias("lo"), F.col("_idx").alias("idx"),
@@ -143,9 +158,9 @@ def _blocks_of(row) -> tuple[Block, Block]:
 
 def _run(
     df: DataFrame, keys: Sequence[str], schema: str, per_tile: Callable[..., dict[str, np.ndarray]],
-    idx: str, seq: str, mult: str | None, block_rows: int, extra: Callable[[DataFrame], DataFrame] | None = None,
+    idx: str, seq: str, mult: str | None, block_rows: int, focus: Column | None = None,
 ) -> DataFrame:
-    tiles = _tiles(df, keys, idx, seq, mult, block_rows)
+    tiles = _tiles(df, keys, idx, seq, mult, block_rows, focus)
     key_schema = ", ".join(f"`{k}` {tiles.schema[k].dataType.simpleString()}" for k in keys)
     names = list(keys)
 
@@ -211,9 +226,10 @@ def pair_histogram(
 
 def near_pairs(
     df: DataFrame, max_distance: int, keys: Sequence[str] = KEYS, idx: str = "seq_idx",
-    seq: str = "seq", include_gaps: bool = False, block_rows: int = BLOCK_ROWS,
+    seq: str = "seq", include_gaps: bool = False, block_rows: int = BLOCK_ROWS, focus: Column | None = None,
 ) -> DataFrame:
-    """Pairs ``a < b`` of a group at most ``max_distance`` apart."""
+    """Pairs ``a < b`` of a group at most ``max_distance`` apart; with ``focus`` those of them
+    that have a row meeting that condition."""
 
     def per_tile(a: Block, b: Block, diag: bool) -> dict:
         differ, compared, indel = compare(a, b, True)
@@ -227,7 +243,7 @@ def near_pairs(
         }
 
     return _run(df, keys, "a bigint, b bigint, hd int, compared int, gap_difference int",
-                per_tile, idx, seq, None, block_rows)
+                per_tile, idx, seq, None, block_rows, focus)
 
 
 def centre_sums(

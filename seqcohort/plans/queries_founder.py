@@ -17,6 +17,7 @@ from seqcohort.plans.catalog import query
 from seqcohort.plans.inputs import CONS_SQL, PAIRS_SQL, SITES_SQL, UNIQUE_SQL, aln_sql, alignment, sql, table
 from seqcohort.plans.queries_pairs import CONS_DIST, unique
 from seqcohort.plans.queries_scalars import headed
+from seqcohort.session import settle
 
 ALN, DOC = aln_sql("part"), aln_sql("doc")
 
@@ -195,23 +196,19 @@ def _(spark, d):
     SELECT x.sample_id, x.hd + y.hd AS hd, x.n * y.n / 2 AS v FROM cons_hist x JOIN cons_hist y USING (sample_id)
     UNION ALL SELECT sample_id, 2 * hd, -n / 2 FROM cons_hist)
   GROUP BY ALL),
-reach AS (SELECT sample_id, 2 * max(hd) + 1 AS reach FROM cons_hist GROUP BY ALL),
 chk AS (
   SELECT sample_id, max_hd,
-         sum(CASE WHEN hd <= max_hd AND hd <= reach THEN abs(coalesce(n, 0) - coalesce(conv, 0)) ELSE 0 END) / nullif(sum(conv), 0) AS v
-  FROM conv FULL JOIN hist USING (sample_id, hd) JOIN lam USING (sample_id) JOIN reach USING (sample_id) GROUP BY ALL)
+         sum(CASE WHEN hd <= max_hd THEN abs(coalesce(n, 0) - coalesce(conv, 0)) ELSE 0 END) / nullif(sum(conv), 0) AS v
+  FROM conv FULL JOIN hist USING (sample_id, hd) JOIN lam USING (sample_id) GROUP BY ALL)
 SELECT sample_id, CASE WHEN max_hd > 0 THEN round(v, 6) END AS "check", CASE WHEN max_hd > 0 THEN v <= 0.1 END AS follows_star FROM chk"""))
 def _(spark, d):
-    rows = alignment(spark, d)
-    u = dd.exact_dedup(rows)
-    cons = fo.consensus_histogram(pr.consensus_distance(u, st.majority_consensus(rows)))
-    return rounded(fo.star_convolution(cons, fo.distance_histogram(u)), 6, "check")
+    return rounded(fo.star_convolution(*both_histograms(spark, d, "part")), 6, "check")
 
 
 def both_histograms(spark, d, by="doc"):
-    rows = alignment(spark, d, by)
-    u = dd.exact_dedup(rows)
-    return fo.consensus_histogram(pr.consensus_distance(u, st.majority_consensus(rows))), fo.distance_histogram(u)
+    """Of the consensus and of the pairs; the alignment is read and deduplicated once."""
+    u = settle(dd.exact_dedup(alignment(spark, d, by)))
+    return fo.consensus_histogram(pr.consensus_distance(u, st.majority_consensus(u, weight="mult"))), fo.distance_histogram(u)
 
 
 @query("poisson_goodness")
@@ -237,7 +234,7 @@ def _(spark, d):
 SELECT sample_id, hd, m AS n FROM (
   SELECT sample_id, hd, CASE WHEN t > 2500 THEN round_even(2500.0::DOUBLE * n / t, 0)::BIGINT ELSE n END AS m FROM t) WHERE m > 0"""))
 def _(spark, d):
-    return fo.shrink_histogram(fo.distance_histogram(unique(spark, d)))
+    return fo.shrink_histogram(fo.distance_histogram(unique(spark, d)), 2500)
 
 
 @query("empirical_upper_p", f"""

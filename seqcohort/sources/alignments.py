@@ -84,27 +84,66 @@ def _assemble(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+# What an aligned sequence may hold (nucleotide and amino-acid letters, gaps,
+# unknowns, matches to the first sequence).
+RESIDUES = r"[A-Za-z*?.~-]*"
+
+
+def checked(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """Sequences of ``found`` (with ``path``) after comparison with what their file declares:
+    the number of sequences ``_n`` and of sites ``_sites`` (null: not declared), and the
+    characters that may occur. A file that disagrees is an error, never a guess."""
+    seen = found.groupBy("path").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(F.length("seq")).alias("_short"), F.max(F.length("seq")).alias("_long"),
+        F.bool_and(F.col("seq").rlike(f"^{RESIDUES}$")).alias("_clean"),
+    ).join(declared, "path", "left")
+    trouble = (
+        F.when(~F.col("_clean"), F.lit("holds characters that no sequence has"))
+        .when(F.col("_rows") != F.col("_n"), F.format_string("declares %s sequences and has %s", "_n", "_rows"))
+        .when((F.col("_short") != F.col("_sites")) | (F.col("_long") != F.col("_sites")),
+              F.format_string("declares %s sites and has sequences of %s to %s", "_sites", "_short", "_long"))
+    )
+    verdict = seen.select("path", F.when(trouble.isNotNull(), F.raise_error(F.concat("path", F.lit(" "), trouble)).cast("int")).alias("_bad"))
+    return found.join(verdict, "path").filter("_bad IS NULL").drop("_bad")
+
+
 def read_phylip(spark: SparkSession, paths: Sequence[str] | str, sample_pattern: str = FILE_STEM) -> DataFrame:
     """Interleaved PHYLIP, or sequential with one line per sequence: the first line gives
-    the number of sequences, names stand in the first block only."""
+    the number of sequences and sites, names stand in the first block only. Files whose
+    sequences do not have the declared number and length (such as sequential files with
+    wrapped lines) are an error."""
     lines = _numbered(spark, paths)
-    size = lines.filter("line = 1").select(
-        "path", F.regexp_extract("value", r"^\s*(\d+)\s+(\d+)", 1).cast("bigint").alias("_n")
-    )
+    size = lines.filter("line = 1").select("path", *[
+        F.regexp_extract("value", r"^\s*(\d+)\s+(\d+)", i).cast("bigint").alias(c) for i, c in ((1, "_n"), (2, "_sites"))
+    ])
     rows = lines.filter("line > 1").join(size, "path").withColumns(
         {"_row": (F.col("line") - 2) % F.col("_n"), "_first": F.col("line") - 2 < F.col("_n")}
     )
     name = F.when(F.col("_first"), F.regexp_extract(F.trim("value"), r"^(\S+)", 1))
     body = F.when(F.col("_first"), F.regexp_replace(F.trim("value"), r"^\S+", "")).otherwise(F.col("value"))
     pieces = rows.select("path", "_row", "line", name.alias("seq_name"), F.regexp_replace(body, r"\s", "").alias("piece"))
-    return _assemble(pieces, ["path", "_row"]).select(
+    return checked(_assemble(pieces, ["path", "_row"]), size).select(
         _sample_of(F.col("path"), sample_pattern).alias("sample_id"), (F.col("seq_idx") - 1).alias("seq_idx"), "seq_name", "seq"
     )
 
 
 def read_nexus(spark: SparkSession, paths: Sequence[str] | str, sample_pattern: str = FILE_STEM) -> DataFrame:
-    """Matrix block of NEXUS files, interleaved or not: every line repeats its name."""
+    """Matrix block of NEXUS files, interleaved or not: every line repeats its name. Comments
+    in brackets are left out, also over several lines; the declared dimensions are checked."""
     lines = _numbered(spark, paths)
+    # depth of brackets at the start of each line, from running totals of the two kinds
+    count = lambda mark: (F.length("value") - F.length(F.replace("value", F.lit(mark), F.lit("")))).cast("bigint")
+    depth = lines.withColumns({"_up": count("["), "_down": count("]")})
+    before = running_totals(depth, ["path"], "line", ["_up", "_down"]).select(
+        "path", "line", (F.col("_up_before") - F.col("_down_before")).alias("_open")
+    )
+    inside = F.concat(F.when(F.col("_open") > 0, F.lit("[")).otherwise(F.lit("")), F.col("value"))
+    plain = F.regexp_replace(F.regexp_replace(inside, r"\[[^\]]*\]", ""), r"\[.*$", "")
+    lines = lines.join(before, ["path", "line"]).withColumn("value", plain).drop("_open").filter("trim(value) <> ''")
+    declared = lines.filter(F.lower("value").rlike(r"^\s*dimensions\b")).withColumn("value", F.lower("value")).select(
+        "path", F.nullif(F.regexp_extract("value", r"\bntax\s*=\s*(\d+)", 1), F.lit("")).cast("bigint").alias("_n"),
+        F.nullif(F.regexp_extract("value", r"\bnchar\s*=\s*(\d+)", 1), F.lit("")).cast("bigint").alias("_sites"),
+    ).groupBy("path").agg(F.max("_n").alias("_n"), F.max("_sites").alias("_sites"))
     start = lines.filter(F.lower(F.trim("value")) == "matrix").groupBy("path").agg(F.min("line").alias("_a"))
     ends = lines.filter(F.trim("value").startswith(";")).join(start, "path").filter("line > _a")
     span = start.join(ends.groupBy("path").agg(F.min("line").alias("_b")), "path")
@@ -113,7 +152,7 @@ def read_nexus(spark: SparkSession, paths: Sequence[str] | str, sample_pattern:
         "path", "line", F.regexp_extract(F.trim("value"), r"^(\S+)", 1).alias("seq_name"),
         F.regexp_replace(F.regexp_replace(F.trim("value"), r"^\S+", ""), r"[\s;]", "").alias("piece"),
     ).withColumn("_name", F.col("seq_name"))
-    return _assemble(pieces, ["path", "_name"]).select(
+    return checked(_assemble(pieces, ["path", "_name"]), declared).select(
         _sample_of(F.col("path"), sample_pattern).alias("sample_id"), "seq_idx", "seq_name", "seq"
     )
 

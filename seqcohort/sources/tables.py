@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,16 +102,11 @@ def write_results(df: DataFrame, path: str, columns: Sequence[str], partition: S
     fixed_table(df, columns, digits).write.partitionBy(*partition).option("sep", "\t").option("header", True).csv(path)
 
 
-def duplicate_lines(dups: DataFrame, keys: Sequence[str] = ("sample_id",), per_line: int = 1000) -> DataFrame:
-    """Retained name with a comma list of the removed ones. A sequence with very many
-    copies takes several lines, so no cell has to hold all names."""
-    out = dups.filter("kept <> dup")
-    lines = out.groupBy(*keys, "kept").agg(F.ceil(F.count(F.lit(1)) / per_line).cast("int").alias("_lines"))
-    return (
-        out.join(lines, [*keys, "kept"]).withColumn("_line", F.pmod(F.xxhash64("dup"), F.col("_lines")))
-        .groupBy(*keys, "kept", "_line")
-        .agg(F.array_join(F.sort_array(F.collect_list("dup")), ",").alias("removed"))
-        .select(*keys, F.col("kept").alias("retained"), "removed")
+def duplicate_lines(dups: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Retained name with the comma list of all removed ones, one line each. A cell holds as
+    many names as a sequence has copies: for very many the long form is the one to use."""
+    return dups.filter("kept <> dup").groupBy(*keys, F.col("kept").alias("retained")).agg(
+        F.array_join(F.sort_array(F.collect_list("dup")), ",").alias("removed")
     )
 
 
@@ -120,7 +115,3 @@ def write_duplicate_map(dups: DataFrame, path: str, keys: Sequence[str] = ("samp
         dups.select(*keys, F.col("kept").alias("kept_seq"), F.col("dup").alias("dup_seq")).write.option("header", True).csv(path)
     else:
         duplicate_lines(dups, keys).write.option("header", True).option("sep", "\t").csv(path)
-
-
-def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))

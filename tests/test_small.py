@@ -321,3 +321,86 @@ def test_dates(spark):
     df = spark.createDataFrame([("03/04/11",), ("2011/03/04",), ("",)], "t string")
     got = [r[0] and str(r[0]) for r in df.select(tb.parse_date(F.col("t"))).collect()]
     assert got == ["2011-03-04", "2011-03-04", None]
+
+
+def test_goodness_sees_bins_at_any_distance():
+    cons = np.array([60.0, 25, 10, 5])
+    pairs = np.array([600.0, 900, 800, 500, 300, 150, 60, 20, 5])
+    far = np.zeros(200)
+    far[: len(pairs)] = pairs
+    more = far.copy()
+    more[190] = 20
+    assert fo.chi_square(cons, far)[3] == 0
+    assert fo.chi_square(cons, more)[2:] == (2e-16, 20.0)
+
+
+def test_largest_of_many_gamma_draws():
+    rng = np.random.default_rng(1)
+    shapes, counts = np.array([1, 5, 12]), np.array([300.0, 200, 2])
+    drawn = np.max([rng.gamma(a, size=(4000, int(n))).max(axis=1) for a, n in zip(shapes, counts)], axis=0)
+    made = tails.largest_gamma(shapes, counts, 1 - rng.random(4000))
+    assert np.quantile(made, [0.1, 0.5, 0.9]) == pytest.approx(np.quantile(drawn, [0.1, 0.5, 0.9]), rel=0.03)
+    # a few observations far out decide the largest, however many lie near
+    assert np.median(tails.largest_gamma(np.array([5, 60]), np.array([1e7, 1500.0]), 1 - rng.random(500))) > 80
+
+
+def test_threshold_zero_does_not_depend_on_other_rows(seqs):
+    removed = lambda *rows: {(r.idx, r.rep) for r in dd.distance_dedup(seqs(*rows), 0).collect()}
+    assert removed("ACGT", "acgt", "aaaa") == {(2, 1)}
+    assert removed("ACGT", "acgt", "ccnn") == {(2, 1)}
+    assert removed("acgt", "ac-t", "acnt", "acrt", "tttt", "acgt") == {(3, 1), (4, 1), (6, 1)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_threshold_zero_equals_sequential_with_codes(seqs, seed):
+    rows = random_rows(60, 6, seed, letters="acgt", changes=2)
+    got = {r.idx: r.rep for r in dd.distance_dedup(seqs(*rows), 0).collect()}
+    dist = [[hamming(x, y, True) for y in rows] for x in rows]
+    assert got == {i + 1: r + 1 for i, r in greedy(len(rows), dist, 0, {}).items()}
+
+
+def test_unequal_lengths_are_an_error(seqs):
+    with pytest.raises(Exception, match="differ in length"):
+        pr.near_pairs(seqs("acg", "acgta"), 5).collect()
+
+
+def test_saturated_pairs_are_reported(seqs, spark):
+    df = dd.exact_dedup(seqs("acgt", "tgca", "acga"))
+    row = fo.pairwise_diversity(df, jukes_cantor=True).first()
+    assert (row.n_pairs, row.n_saturated) == (1, 2) or row.n_pairs + row.n_saturated == 3
+
+
+def test_many_copies_stay_on_one_line(spark):
+    dups = spark.createDataFrame([("s", "a", f"d{i}") for i in range(1500)] + [("s", "a", "a")], "sample_id string, kept string, dup string")
+    line = tb.duplicate_lines(dups).collect()
+    assert len(line) == 1 and len(line[0].removed.split(",")) == 1500
+
+
+def test_nexus_comments_and_declared_sizes(spark, tmp_path):
+    text = "#NEXUS\n[ a comment\n over lines ]\nbegin data;\ndimensions ntax=2 nchar=8;\nmatrix\n[ comment line]\na acgt [4]\nb tt-t\na ccgg\nb cc?g\n;\nend;\n"
+    (tmp_path / "x.nex").write_text(text)
+    assert {(r.seq_name, r.seq) for r in al.read_nexus(spark, str(tmp_path / "x.nex")).collect()} == {("a", "acgtccgg"), ("b", "tt-tcc?g")}
+    (tmp_path / "y.nex").write_text(text.replace("ntax=2", "ntax=3"))
+    with pytest.raises(Exception, match="declares 3 sequences"):
+        al.read_nexus(spark, str(tmp_path / "y.nex")).collect()
+    (tmp_path / "z.nex").write_text(text.replace("ccgg", "cc9g"))
+    with pytest.raises(Exception, match="characters"):
+        al.read_nexus(spark, str(tmp_path / "z.nex")).collect()
+
+
+def test_phylip_with_wrapped_records_is_rejected(spark, tmp_path):
+    (tmp_path / "x.phy").write_text("2 8\na acgt\nacgt\nb tttt\ntttt\n")
+    with pytest.raises(Exception, match="declares"):
+        al.read_phylip(spark, str(tmp_path / "x.phy")).collect()
+
+
+def test_model_fits_say_whether_they_converged(spark):
+    rng = np.random.default_rng(4)
+    rows = [("e", f"p{i % 12}", float(x), float(z), int(x + rng.normal() > 0)) for i, (x, z) in enumerate(rng.normal(size=(120, 2)))]
+    df = spark.createDataFrame(rows, "estimator string, ptid string, x double, z double, g int")
+    assert {r.converged for r in ev.logistic_coefficients(df, "g", ["x"]).collect()} == {True}
+    assert {r.converged for r in ev.logistic_coefficients(df, "g", ["x"], rounds=1).collect()} == {False}
+    small = ev.logistic_coefficients(df, "g", ["x"], row_block=10, fold_block=3).collect()
+    whole = {r.ptid: r.beta for r in ev.logistic_coefficients(df, "g", ["x"]).collect()}
+    assert all(r.beta == pytest.approx(whole[r.ptid], rel=1e-9) for r in small)
+    assert {r.converged for r in ev.lasso_coefficients(ev.fold_statistics(df, "g", ["x", "z"]), (0, 1)).collect()} == {True}
