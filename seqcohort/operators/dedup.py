@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqcohort.operators import pairs as pr
 from seqcohort.operators import sites as st
-from seqcohort.session import settle
+from seqcohort.session import checksum, release, settle
 
 KEYS = ("sample_id",)
 
@@ -171,21 +171,30 @@ def dedup_to_max(df: DataFrame, n_max: int, keys: Sequence[str] = KEYS, idx: str
     """Raise the threshold from 0, sample by sample, until at most ``n_max`` sequences
     remain; removals accumulate, and a step that would leave nothing is taken back.
 
-    Thresholds at which no sample has a pair left to merge change nothing and are skipped:
-    the next one is the smallest nearest-neighbour distance of the remaining sequences.
+    Sequences that read the same go to the first of them at threshold 0, so that distances
+    are only taken between distinct ones. Thresholds at which no sample has a pair left to
+    merge change nothing and are skipped: the next one is the smallest nearest-neighbour
+    distance of the remaining sequences.
     """
     if n_max < 2:
         raise ValueError("n_max must exceed 1")
     keys = list(keys)
+    df = df.withColumn(seq, F.translate(F.lower(seq), "?", "-"))
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    active = settle(total.filter(F.col("_n") > n_max))
-    removed = settle(df.select(*keys, F.col(idx).alias("idx"), F.col(idx).alias("rep")).limit(0))
+    large = settle(total.filter(F.col("_n") > n_max).select(*keys))
+    rows = df.join(large, keys, "left_semi")
+    copies = settle(_copies(rows, keys, idx, seq))
+    unique = settle(rows.groupBy(*keys, seq).agg(F.min(idx).alias(idx)))
+    # from here on only distinct sequences count: the copies are gone at threshold 0
+    active = settle(unique.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    removed = settle(unique.select(*keys, F.col(idx).alias("idx"), F.col(idx).alias("rep")).limit(0))
     finished = removed
     nearest = None
     threshold = 0
     while not active.isEmpty():
-        rows = df.join(active.select(*keys), keys, "left_semi")
-        edges = pr.near_pairs(rows, threshold, keys, idx, seq, include_gaps)
+        rows = unique.join(active.select(*keys), keys, "left_semi")
+        focus = F.col(seq).rlike("[^acgt-]") if threshold == 0 and include_gaps else None
+        edges = pr.near_pairs(rows, threshold, keys, idx, seq, include_gaps, focus=focus)
         step = settle(removed.unionByName(greedy_absorb(edges, keys, removed)))
         left = step.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gone"))
         state = settle(
@@ -194,14 +203,16 @@ def dedup_to_max(df: DataFrame, n_max: int, keys: Sequence[str] = KEYS, idx: str
         )
         emptied = state.filter("_left = 0").select(*keys)
         reached = state.filter((F.col("_left") > 0) & (F.col("_left") <= n_max)).select(*keys)
-        finished = settle(
+        ended = settle(
             finished.unionByName(removed.join(emptied, keys, "left_semi"))
             .unionByName(step.join(reached, keys, "left_semi"))
         )
-        active = settle(state.filter(F.col("_left") > n_max).select(*keys, "_n"))
-        removed = settle(step.join(active.select(*keys), keys, "left_semi"))
+        open_keys = settle(state.filter(F.col("_left") > n_max).select(*keys, "_n"))
+        kept = settle(step.join(open_keys.select(*keys), keys, "left_semi"))
+        release(active, state, step, removed, *([finished] if finished is not removed else []))
+        active, removed, finished = open_keys, kept, ended
         if nearest is None:
-            nearest = settle(pr.nearest_pairs(df, keys, idx, seq, include_gaps))
+            nearest = settle(pr.nearest_pairs(unique, keys, idx, seq, include_gaps))
         waiting = (
             nearest.join(active.select(*keys), keys, "left_semi")
             .join(removed.select(*keys, "idx"), [*keys, "idx"], "left_anti")
@@ -211,7 +222,10 @@ def dedup_to_max(df: DataFrame, n_max: int, keys: Sequence[str] = KEYS, idx: str
             finished = settle(finished.unionByName(removed))
             break
         threshold = waiting
-    return finished
+    through = copies.join(
+        finished.select(*keys, F.col("idx").alias("rep"), F.col("rep").alias("_r")), [*keys, "rep"], "left"
+    ).select(*keys, "idx", F.coalesce("_r", "rep").alias("rep"))
+    return finished.unionByName(through)
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -222,6 +236,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[s
     """
     keys = list(keys)
     links = settle(edges.select(*keys, F.col("a").alias("u"), F.col("b").alias("x")).distinct())
+    seen = checksum(links)
     while True:
         both = _both_ways(links.select(*keys, F.col("u").alias("a"), F.col("x").alias("b")), keys)
         low = both.groupBy(*keys, "u").agg(F.least(F.min("x"), F.col("u")).alias("m"))
@@ -234,9 +249,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame, keys: Sequence[s
             .filter("u <> x").distinct()
         )
         fresh = settle(small)
-        changed = not fresh.exceptAll(links).isEmpty() or not links.exceptAll(fresh).isEmpty()
-        links = fresh
-        if not changed:
+        release(links, down)
+        links, before = fresh, seen
+        seen = checksum(links)
+        if seen == before:
             break
     label = links.groupBy(*keys, "x").agg(F.min("u").alias("component"))
     return vertices.select(*keys, "idx").join(

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +38,26 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove the tables of settled frames that nothing reads any more, such as those of the
+    rounds before; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_settled", None)
+        if path is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
+def checksum(df: DataFrame) -> tuple:
+    """Number of rows and an order-free checksum: equal for equal tables."""
+    row = F.xxhash64(*df.columns)
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(row, F.lit(1)))).first())
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
