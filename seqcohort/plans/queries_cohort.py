@@ -176,24 +176,25 @@ def _(spark, d):
 
 
 @query("outer_cbind", """
-SELECT coalesce(a.nation, b.nation) AS nation, n_cust, n_supp
-FROM (SELECT c_nationkey AS nation, count(*) AS n_cust FROM customer WHERE c_acctbal > 0 GROUP BY 1) a
-FULL JOIN (SELECT s_nationkey AS nation, count(*) AS n_supp FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.nation = b.nation""")
+SELECT coalesce(a.balance, b.balance) AS balance, n_cust, n_supp
+FROM (SELECT floor(c_acctbal / 100)::BIGINT AS balance, count(*) AS n_cust FROM customer GROUP BY 1) a
+FULL JOIN (SELECT floor(s_acctbal / 100)::BIGINT AS balance, count(*) AS n_supp FROM supplier GROUP BY 1) b ON a.balance = b.balance""")
 def _(spark, d):
-    a = table(spark, d, "customer").filter("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n_cust"))
-    b = table(spark, d, "supplier").filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n_supp"))
-    return co.outer_cbind(a, b, ["nation"])
+    count = lambda name, col, out: table(spark, d, name).groupBy(F.floor(F.col(col) / 100).alias("balance")).agg(F.count(F.lit(1)).alias(out))
+    return co.outer_cbind(count("customer", "c_acctbal", "n_cust"), count("supplier", "s_acctbal", "n_supp"), ["balance"])
 
 
 @query("merge_equivalent_rows", """
-SELECT o_custkey::VARCHAR AS label, max(o_orderkey) FILTER (o_orderstatus = 'O') AS last_open, max(o_orderkey) FILTER (o_orderstatus = 'F') AS last_done
-FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1""")
+SELECT o_custkey::VARCHAR AS label, max(o_orderkey) FILTER (o_orderstatus = 'O') AS last_open, max(o_orderkey) FILTER (o_orderstatus = 'F') AS last_done,
+       max(o_orderkey) FILTER (o_orderstatus NOT IN ('O', 'F')) AS last_other
+FROM orders GROUP BY 1""")
 def _(spark, d):
-    each = table(spark, d, "orders").filter("o_orderstatus IN ('O', 'F')").groupBy(
+    each = table(spark, d, "orders").groupBy(
         F.col("o_custkey").cast("string").alias("label"), "o_orderstatus").agg(F.max("o_orderkey").alias("k"))
-    rows = each.select("label", F.when(F.col("o_orderstatus") == "O", F.col("k")).alias("last_open"),
-                       F.when(F.col("o_orderstatus") == "F", F.col("k")).alias("last_done"))
-    return co.merge_equivalent_rows(rows, "label", ["last_open", "last_done"])
+    status = F.col("o_orderstatus")
+    rows = each.select("label", F.when(status == "O", F.col("k")).alias("last_open"), F.when(status == "F", F.col("k")).alias("last_done"),
+                       F.when(~status.isin("O", "F"), F.col("k")).alias("last_other"))
+    return co.merge_equivalent_rows(rows, "label", ["last_open", "last_done", "last_other"])
 
 
 @query("combine_configurations", sql(RESULTS, select="""

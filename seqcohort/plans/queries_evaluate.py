@@ -242,7 +242,7 @@ def _(spark, d):
 
 
 WIDTHS = """
-w AS (SELECT CASE WHEN event_type = 'view' THEN 'a' ELSE 'b' END AS sample, round(value) AS raw FROM events WHERE event_type IN ('view', 'click')),
+w AS (SELECT CASE WHEN event_type = 'view' THEN 'a' ELSE 'b' END AS sample, round(value) AS raw FROM events),
 m AS (SELECT avg(raw) FILTER (sample = 'a') AS ma, avg(raw) FILTER (sample = 'b') AS mb FROM w),
 g AS (SELECT ma, mb, 30 - exp(ln(30 / 90) * ln((180 - ma) / (90 - mb)) / ln(180 / 90)) * (90 - mb) AS goal FROM m),
 sc AS (SELECT sample, raw, CASE WHEN sample = 'a' THEN raw ELSE raw * ma / mb END AS scaled, goal FROM w, g)"""
@@ -252,7 +252,7 @@ sc AS (SELECT sample, raw, CASE WHEN sample = 'a' THEN raw ELSE raw * ma / mb EN
 SELECT sample, raw, round(scaled, 6) AS scaled, raw >= 270 AS in_tail, round(scaled * goal / (SELECT avg(scaled) FROM sc), 6) AS rescaled FROM sc"""))
 def _(spark, d):
     e = table(spark, d, "events").select("event_type", F.round("value").alias("width"))
-    out = ev.rescale_pooled_widths(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"))
+    out = ev.rescale_pooled_widths(e.filter("event_type = 'view'"), e.filter("event_type <> 'view'"))
     return r(out, 6, "scaled", "rescaled")
 
 

@@ -244,12 +244,12 @@ def _(spark, d):
 
 @query("attach_viral_load", """
 SELECT l_orderkey, l_linenumber, round(ln(nullif(v, 0)), 6) AS lpvl FROM lineitem LEFT JOIN (
-  SELECT l_partkey AS p, l_linenumber AS t, max(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL)
+  SELECT l_suppkey AS p, l_linenumber AS t, max(l_quantity) AS v FROM lineitem GROUP BY ALL)
 ON l_partkey = p AND l_linenumber = t""")
 def _(spark, d):
     li = table(spark, d, "lineitem")
     rows = li.select("l_orderkey", F.col("l_partkey").alias("ptid"), F.col("l_linenumber").alias("timepoint"))
-    loads = li.filter("l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("ptid"), F.col("l_linenumber").alias("timepoint")).agg(
+    loads = li.groupBy(F.col("l_suppkey").alias("ptid"), F.col("l_linenumber").alias("timepoint")).agg(
         F.max("l_quantity").alias("viralload"))
     return jn.attach_viral_load(rows, loads).select(
         "l_orderkey", F.col("timepoint").alias("l_linenumber"), F.round("lpvl", 6).alias("lpvl")
@@ -257,8 +257,8 @@ def _(spark, d):
 
 
 def event_bounds(spark, d):
-    """Per user: an interval from the spread of the values of its purchases."""
-    e = table(spark, d, "events").filter("event_type = 'purchase'")
+    """Per user: an interval from the spread of the values of its events."""
+    e = table(spark, d, "events")
     lo, hi = F.floor(F.avg("value") - F.stddev_samp("value")), F.ceil(F.avg("value") + F.stddev_samp("value"))
     return e.groupBy(F.col("user_id").alias("ptid")).agg(lo.cast("double").alias("lower"), hi.cast("double").alias("upper"))
 
@@ -266,7 +266,7 @@ def event_bounds(spark, d):
 BOUNDS = """
 bounds AS (
   SELECT user_id AS ptid, floor(avg(value) - stddev_samp(value)) AS lower, ceil(avg(value) + stddev_samp(value)) AS upper
-  FROM events WHERE event_type = 'purchase' GROUP BY 1)"""
+  FROM events GROUP BY 1)"""
 
 
 @query("clip_to_bounds", sql(BOUNDS, select="""
