@@ -125,7 +125,7 @@ def bucket_links(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarr
     return fp[child], fp[label[child]]
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 4, part_rows: int = 50_000, tile_rows: int = 8192,
+def fingerprint_links(prints: DataFrame, radius: int = 4, part_rows: int = 8192, tile_rows: int = 8192,
                       bucket_rows: int = 256) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``), enough of them that every
     two linked fingerprints are connected. Blocks are as many as keep an even bucket under
