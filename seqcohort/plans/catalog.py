@@ -32,6 +32,6 @@ def load() -> None:
 
     cloudpickle.register_pickle_by_value(seqcohort)
     from seqcohort.plans import (  # noqa: F401
-        queries_cohort, queries_evaluate, queries_founder, queries_pairs, queries_scalars, queries_sites,
+        queries_cohort, queries_evaluate, queries_fits, queries_founder, queries_pairs, queries_scalars, queries_sites,
         queries_sources,
     )

@@ -10,13 +10,11 @@ from seqcohort.functions import formulas as fm
 from seqcohort.operators import dedup as dd
 from seqcohort.operators import founder as fo
 from seqcohort.operators import pairs as pr
-from seqcohort.operators import scalars as sc
 from seqcohort.operators import sites as st
-from seqcohort.plans import fits, report
+from seqcohort.plans import report
 from seqcohort.plans.catalog import query
 from seqcohort.plans.inputs import CONS_SQL, PAIRS_SQL, SITES_SQL, UNIQUE_SQL, aln_sql, alignment, sql, table
 from seqcohort.plans.queries_pairs import CONS_DIST, unique
-from seqcohort.plans.queries_scalars import headed
 from seqcohort.session import settle
 
 ALN, DOC = aln_sql("part"), aln_sql("doc")
@@ -308,31 +306,8 @@ def _(spark, d):
     return fo.star_founder_call(v, min_diversity=0.7).select("sample_id", "star_is_one_founder")
 
 
-@query("poisson_fit")
-def _(spark, d):
-    return fits.poisson_fit(alignment(spark, d, "doc"))
-
-
-@query("synonymous_fit")
-def _(spark, d):
-    return fits.synonymous_fit(alignment(spark, d, "doc"))
-
-
-@query("multifounder_fit")
-def _(spark, d):
-    rows = alignment(spark, d)
-    clusters = rows.select("ptid", F.col("seq_idx").alias("idx"), F.col("region").alias("cluster"))
-    return fits.multifounder_fit(rows.drop("region"), clusters, ["ptid"])
-
-
-@query("region_pooled_fit")
-def _(spark, d):
-    parts = sc.split_by_header_pattern(headed(spark, d))
-    named = parts.withColumn("base_name", sc.base_sample_name(F.col("sample_id"))).withColumn(
-        "genome_part", F.coalesce("genome_part", F.lit("all")))
-    return fits.region_pooled_fit(named)
-
-
 @query("sample_report")
 def _(spark, d):
-    return report.sample_report(alignment(spark, d, "doc"))
+    """With clusters found by distance, so that calls and multi-founder columns are filled."""
+    rows = alignment(spark, d, "doc")
+    return report.sample_report(rows, dd.cluster_by_distance(rows, 20))
