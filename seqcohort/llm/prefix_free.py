@@ -124,8 +124,8 @@ def pack_phrases(own: pa.Array, hashes: pa.Array, row: list[int], found: list[tu
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` phrases (``own, hash, start, starts, gram, lone, kinds``) with their bytes."""
-    lists = wanted.groupBy("own", "hash").agg(F.collect_list(F.struct("start", "starts", "gram", "lone", "kinds")).alias("found"))
+    """``wanted`` phrases (``own, hash, start, starts, gram, lone``) with their bytes."""
+    lists = wanted.groupBy("own", "hash").agg(F.collect_list(F.struct("start", "starts", "gram", "lone")).alias("found"))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -138,13 +138,12 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [own.take(at), hashes.take(at), pa.array([r["start"] for r in part], pa.int64()),
                          pa.array([r["gram"] for r in part], pa.int64()), pa.array([r["lone"] for r in part], pa.bool_()),
-                         pa.array([r["kinds"] for r in part], pa.int64()),
                          pa.array([text[r["start"]:r["start"] + r["starts"] + length - 1] for r in part], pa.binary())],
-                        ["own", "hash", "start", "gram", "lone", "kinds", "bytes"],
+                        ["own", "hash", "start", "gram", "lone", "bytes"],
                     )
 
     return docs.join(lists, ["own", "hash"]).select("own", "hash", "text", "found").mapInArrow(
-        run, "own long, hash long, start long, gram long, lone boolean, kinds long, bytes binary"
+        run, "own long, hash long, start long, gram long, lone boolean, bytes binary"
     )
 
 
@@ -238,16 +237,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others = open_ones.filter("n > 1").groupBy("gram", "phrase").agg(
         *[F.first(c).alias(c) for c in ("own", "hash", "start", "starts", "kinds")]
     ).select("own", "hash", "start", "starts", "gram", F.lit(False).alias("lone"), "kinds")
-    # Written once: both ways below read the bytes, and the texts are shuffled once for them.
-    dictionary = settle(fetch(docs, lone.unionAll(others), length))
-    few, many = dictionary.filter(F.col("kinds") <= hot), dictionary.filter(F.col("kinds") > hot)
+    wanted = settle(lone.unionAll(others))
+    few, many = wanted.filter(F.col("kinds") <= hot), wanted.filter(F.col("kinds") > hot)
     parts = partitions_for(few.count(), part_phrases)
-    runs = few.withColumn("part", bucket(parts, "gram")).groupBy("part").applyInPandas(
+    # The texts are shuffled once: here and in the last join they are dealt the same way, in one
+    # plan, so that one exchange serves all.
+    runs = fetch(docs, few, length).withColumn("part", bucket(parts, "gram")).groupBy("part").applyInPandas(
         lambda rows: sorted_repeats(rows, length), "own long, hash long, low long, high long"
     )
     if not many.isEmpty():
-        runs = runs.unionAll(counted_repeats(many, length))
-    runs = settle(runs)
+        runs = runs.unionAll(counted_repeats(fetch(docs, many, length), length))
     covered = whole.unionAll(runs).groupBy("own", "hash", "low").agg(F.max("high").alias("high")).groupBy("own", "hash").agg(
         F.collect_list(F.struct("low", "high")).alias("runs")
     )
