@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqcohort.session import settle
+from seqcohort.session import checksum, release, settle
 
 
 def star_step(links: DataFrame, large: bool) -> DataFrame:
@@ -23,13 +23,6 @@ def star_step(links: DataFrame, large: bool) -> DataFrame:
     return out.filter("a > b").distinct()
 
 
-def mark(links: DataFrame) -> tuple:
-    """Count and order-free checksum of a link table."""
-    return tuple(links.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))
-    ).first())
-
-
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b`` longs): root is the smallest node of
     its component. A hub's links are combined before the shuffle where they are reduced, and
@@ -37,12 +30,13 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     links = settle(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    before = mark(links)
+    before = checksum(links)
     for _ in range(rounds):
         if before[0] == 0:
             break
-        links = settle(star_step(star_step(links, True), False))
-        after = mark(links)
+        before_links, links = links, settle(star_step(star_step(links, True), False))
+        release(before_links)
+        after = checksum(links)
         if after == before:
             break
         before = after

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from seqcohort.llm.common import texts
 
 # White space as the tokenizer's patterns have it (the Unicode property).
-WHITE = r"\t-\r\x20\x85\xa0  -     　"
+WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = np.iinfo(np.int32).max
 MEMORY = 400_000
 REMEMBER = 64
