@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqcohort.functions import formulas as fm
 from seqcohort.operators.ranks import exact_quantiles
+from seqcohort.session import settle
 
 
 def weighted_mean(x: Column, w: Column, renormalize: bool = False) -> Column:
@@ -85,18 +86,21 @@ def nearest_founder_scores(distances: DataFrame, on: Sequence[str] = ("ptid",),
     """For each truth its nearest estimate (smallest share of differing sites, first on
     ties) and for each estimate its nearest truth, summed per key, in both gap modes. The
     minimum combines on the map side, so a truth with many estimates is no hot spot."""
-    out = []
-    for mode in ("inc", "ign"):
+    distances = settle(distances)  # compared once, then read from either side
+    modes = ("inc", "ign")
+
+    def best(mode: str, other: str) -> Column:
         share = F.try_divide(F.col(f"hd_{mode}"), F.col(f"n_{mode}"))
-        for side, own, other in (("truth", truth, estimate), ("estimate", estimate, truth)):
-            order = F.struct(share.isNull().alias("m"), share.alias("s"), F.col(other).alias("o"))
-            pick = F.min_by(F.struct(F.col(f"hd_{mode}").alias("hd"), F.col(f"n_{mode}").alias("n")), order)
-            out.append(
-                distances.groupBy(*on, own).agg(pick.alias("b"))
-                .groupBy(*on).agg(F.sum("b.hd").alias("hd"), F.sum("b.n").alias("compared"))
-                .select(*on, F.lit(side).alias("perspective"), F.lit(mode).alias("gaps"), "hd", "compared",
-                        F.try_divide("hd", "compared").alias("share"))
-            )
+        order = F.struct(share.isNull().alias("m"), share.alias("s"), F.col(other).alias("o"))
+        return F.min_by(F.struct(F.col(f"hd_{mode}").alias("hd"), F.col(f"n_{mode}").alias("n")), order)
+
+    out = []
+    for side, own, other in (("truth", truth, estimate), ("estimate", estimate, truth)):
+        sums = distances.groupBy(*on, own).agg(*[best(m, other).alias(m) for m in modes]).groupBy(*on).agg(
+            *[F.sum(f"{m}.{c}").alias(f"{m}_{c}") for m in modes for c in ("hd", "n")]
+        )
+        rows = F.array(*[F.struct(F.lit(m).alias("gaps"), F.col(f"{m}_hd").alias("hd"), F.col(f"{m}_n").alias("compared")) for m in modes])
+        out.append(sums.select(*on, F.lit(side).alias("perspective"), F.inline(rows)).withColumn("share", F.try_divide("hd", "compared")))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from seqcohort.functions import formulas as fm
 from seqcohort.functions import tails
 from seqcohort.operators.ranks import running_totals
-from seqcohort.session import settle, spread
+from seqcohort.session import release, settle, spread
 
 # --- errors -----------------------------------------------------------------------------
 
@@ -382,7 +382,8 @@ def logistic_coefficients(df: DataFrame, y: str, terms: Sequence[str], person: s
             *keys, person, "_p", F.col("beta").alias("_old"), step("beta", F.array(*names[:p]), hess).alias("beta")
         )
         still = F.exists(F.zip_with("_old", "beta", lambda a, b: F.abs(a - b) > 1e-9 * (1 + F.abs(b))), lambda t: t)
-        beta = settle(fresh.select(*keys, person, "_p", "beta", (~still).alias("converged")))
+        before, beta = beta, settle(fresh.select(*keys, person, "_p", "beta", (~still).alias("converged")))
+        release(before)
         if beta.filter("NOT converged").isEmpty():
             break
     return beta.drop("_p")
@@ -477,8 +478,9 @@ def assign_interval(df: DataFrame, center: Column, width: Column, percentile: Co
 
 
 def uniform_hash(*cols: Column | str) -> Column:
-    """Reproducible number in [0, 1) from key columns."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
+    """Reproducible number in [0, 1) from key columns: the first 40 bits of their MD5."""
+    text = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("bigint") / float(1 << 40)
 
 
 def assign_sampled_interval(df: DataFrame, widths: DataFrame, center: str, width: str = "width", person: str = "ptid",
@@ -530,17 +532,30 @@ def partition_error_summary(errors: DataFrame, person: str = "ptid", keys: Seque
 
 def partition_bootstrap(errors: DataFrame, replicates: int = 100, seed: int = 1, person: str = "ptid",
                         partition: str = "partition_id", keys: Sequence[str] = ("estimator",), error: str = "error") -> DataFrame:
-    """Each replicate keeps one partition per person (the one with the smallest hash of
-    replicate, person and partition) and summarises the errors again. Replicates are
-    numbers joined to the partitions of a person, never copies of the table in one task."""
+    """Each replicate keeps one partition per person (the one with the smallest digest of
+    replicate, person and partition) and summarises the errors again. Errors are summed per
+    person and partition first; replicates are numbers joined to these sums, never copies of
+    the table."""
     keys = list(keys)
-    parts = errors.select(person, partition).distinct()
+    e = F.col(error).cast("double")
+    sums = settle(errors.groupBy(*keys, person, partition).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(e).alias("_k"), F.coalesce(F.sum(e), F.lit(0.0)).alias("_s"),
+        F.coalesce(F.sum(e * e), F.lit(0.0)).alias("_q"),
+    ))
+    draw = F.md5(F.concat_ws("|", F.col("replicate").cast("string"), F.col(person).cast("string"), F.col(partition).cast("string"), F.lit(str(seed))))
     chosen = (
-        parts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .groupBy(person, "replicate")
-        .agg(F.min_by(partition, F.xxhash64("replicate", person, partition, F.lit(seed))).alias(partition))
+        sums.select(person, partition).distinct()
+        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        .groupBy(person, "replicate").agg(F.min_by(partition, F.struct(draw, F.col(partition))).alias(partition))
     )
-    return bias_se_rmse(errors.join(chosen, [person, partition]), [*keys, "replicate"], error=error)
+    t = sums.join(chosen, [person, partition]).groupBy(*keys, "replicate").agg(*[F.sum(c).alias(c) for c in ("_n", "_k", "_s", "_q")])
+
+    def moments(count: str, tail: str) -> list[Column]:
+        n, mean = F.col(count), F.try_divide("_s", count)
+        spread_ = F.sqrt(F.greatest(F.try_divide(F.col("_q") - n * mean * mean, n - 1), F.lit(0.0)))
+        return [mean.alias(f"bias{tail}"), F.when(n > 1, spread_).alias(f"se{tail}"), F.sqrt(F.try_divide("_q", count)).alias(f"rmse{tail}")]
+
+    return t.select(*keys, "replicate", F.col("_n").alias("n"), *moments("_k", ""), *moments("_n", "_zero"))
 
 
 def label_training_code(df: DataFrame, regions: str = "n_regions", times: str = "n_times", bounded: str = "bounded",

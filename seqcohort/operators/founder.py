@@ -429,7 +429,7 @@ def fixed_size_subset(df: DataFrame, size: int, keys: Sequence[str] = KEYS, name
 
     A cut-off taken from per-bucket counts keeps hot samples out of a single window.
     """
-    hashed = df.withColumn("_h", F.xxhash64(name))
+    hashed = df.withColumn("_h", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint"))
     ranked = running_totals(hashed.withColumn("_one", F.lit(1).cast("bigint")), keys, "_h", ["_one"])
     chosen = ranked.filter(F.col("_one_through") <= size).select(*keys, "_h")
     return hashed.join(chosen, [*keys, "_h"], "left_semi").select(*df.columns)

@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from seqcohort.session import settle
 
-RANGES = 64
+RANGE_ROWS = 200_000
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per key and distinct ``order`` value: the summed ``values``, their totals over
-    smaller order values (``_before``) and up to this one (``_through``)."""
+    smaller order values (``_before``) and up to this one (``_through``). The number of
+    ranges follows from the number of distinct values, so that none grows with the table."""
     keys = list(keys) or ["_all"]
     if keys == ["_all"]:
         df = df.withColumn("_all", F.lit(1))
     distinct = settle(df.groupBy(*keys, order).agg(*[F.sum(v).alias(v) for v in values]))
+    ranges = max(8, -(-distinct.count() // range_rows))
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = settle(
         distinct.groupBy(*keys).agg(

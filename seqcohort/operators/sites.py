@@ -107,10 +107,10 @@ def site_profile(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq") ->
     )
 
 
-def variant_counts(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq") -> DataFrame:
+def variant_counts(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", counts: DataFrame | None = None) -> DataFrame:
     """Count of each non-consensus character per site (flanking gaps and ``?`` left out),
-    with the flank-aware consensus beside it."""
-    counts = flank_aware_counts(df, keys, seq)
+    with the flank-aware consensus beside it. ``counts``: of these sites, if already there."""
+    counts = flank_aware_counts(df, keys, seq) if counts is None else counts
     per_site = counts.groupBy(*keys, "pos").agg(
         F.collect_list(F.struct("base", "n")).alias("all")
     )
@@ -129,12 +129,13 @@ def variable_sites(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq")
     return variant_counts(df, keys, seq).groupBy(*keys, "pos").agg(F.first("cons").alias("cons"))
 
 
-def informative_and_private_sites(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq") -> DataFrame:
+def informative_and_private_sites(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq",
+                                  counts: DataFrame | None = None) -> DataFrame:
     """A variant seen once makes its site private, one seen again informative; a site can
     be both. The no-gap flags ignore sites with one variant where it or the consensus is a
     gap."""
     return (
-        variant_counts(df, keys, seq)
+        variant_counts(df, keys, seq, counts)
         .groupBy(*keys, "pos")
         .agg(
             F.max("cons").alias("cons"),
@@ -165,7 +166,8 @@ def gap_only_site_correction(sites: DataFrame, samples: DataFrame, keys: Sequenc
 
 
 def informative_to_private_ratio(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq") -> DataFrame:
-    totals = gap_only_site_correction(informative_and_private_sites(df, keys, seq), df, keys)
+    counts = settle(flank_aware_counts(df, keys, seq))  # sites and the list of samples come from it
+    totals = gap_only_site_correction(informative_and_private_sites(df, keys, seq, counts), counts, keys)
     return totals.select(
         *keys,
         F.col("informative_no_gap").alias("inf"),
@@ -203,16 +205,24 @@ def mutation_spectrum(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq
 
 
 def informative_subalignment(df: DataFrame, keys: Sequence[str] = KEYS, name: str = "seq_name", seq: str = "seq") -> DataFrame:
-    """Each sequence restricted to the informative sites of its sample."""
-    chosen = (
-        informative_and_private_sites(df, keys, seq).filter("informative")
-        .groupBy(*keys).agg(F.collect_set("pos").alias("_at"))
+    """Each sequence restricted to the informative sites of its sample; ``.`` becomes the
+    consensus of its site. The sites are marked in one string per sample, built from their
+    sorted positions, so the work grows with the width."""
+    at = F.array_sort(F.collect_set(F.struct("pos", "cons")))
+    chosen = informative_and_private_sites(df, keys, seq).filter("informative").groupBy(*keys).agg(at.alias("_at"))
+    pos = F.transform("_at", lambda s: s["pos"])
+    before = F.concat(F.array(F.lit(0)), F.slice(pos, F.lit(1), F.size("_at") - 1))
+    # one character per site: the consensus where it is kept, else a blank
+    marked = F.array_join(F.zip_with(
+        before, F.col("_at"), lambda p, s: F.concat(F.repeat(F.lit(" "), s["pos"] - p - 1), s["cons"])
+    ), "")
+    marks = settle(chosen.select(*keys, marked.alias("_mark")))
+    width = F.length(seq)
+    kept = F.zip_with(
+        ab.chars(F.col(seq)), ab.chars(F.rpad("_mark", width, " ")),
+        lambda base, mark: F.when(mark == " ", "").when(base == ".", mark).otherwise(base),
     )
-    width = df.groupBy(*keys).agg(F.max(F.length(seq)).alias("_w"))
-    flags = F.transform(F.sequence(F.lit(1), F.col("_w")), lambda p: F.array_contains("_at", p))
-    marks = settle(chosen.join(width, list(keys)).select(*keys, flags.alias("_keep")))
-    kept = F.zip_with(ab.chars(F.col(seq)), F.col("_keep"), lambda base, keep: F.when(keep, base).otherwise(""))
-    return df.join(marks, list(keys)).withColumn(seq, F.array_join(kept, "")).drop("_keep")
+    return df.join(marks, list(keys)).withColumn(seq, F.array_join(kept, "")).drop("_mark")
 
 
 def site_entropy(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq") -> DataFrame:

@@ -178,6 +178,22 @@ def _(spark, d):
     return ev.lopo_logistic_predictions(scored(spark, d), "gold", ["size", "english"])
 
 
+@query("lopo_logistic_one_term", "WITH RECURSIVE " + sql(RATED, select="""
+, folds AS (SELECT DISTINCT ptid AS p FROM rated),
+newton(i, p, a, b) AS (
+  SELECT 0, p, 0.0::DOUBLE, 0.0::DOUBLE FROM folds
+  UNION ALL
+  SELECT i + 1, p, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+    SELECT i, p, a, b, sum(gold - mu) AS g1, sum((gold - mu) * size) AS g2,
+           sum(mu * (1 - mu)) AS h11, sum(mu * (1 - mu) * size) AS h12, sum(mu * (1 - mu) * size * size) AS h22
+    FROM (SELECT i, p, a, b, gold, size, 1 / (1 + exp(-(a + b * size))) AS mu FROM newton JOIN rated ON ptid <> p WHERE i < 20)
+    GROUP BY i, p, a, b))
+SELECT doc_id, ptid, round(1 / (1 + exp(-(a + b * size))), 6) AS prediction FROM rated JOIN newton ON p = ptid WHERE i = 20""").removeprefix("WITH "))
+def _(spark, d):
+    out = ev.lopo_logistic_predictions(scored(spark, d), "gold", ["size"])
+    return r(out.select("doc_id", "ptid", "prediction"), 6, "prediction")
+
+
 @query("covariate_usage")
 def _(spark, d):
     stats = ev.fold_statistics(scored(spark, d), "gold", ["size", "noise", "english", "toxic"])
@@ -234,7 +250,13 @@ def _(spark, d):
     return ev.assign_interval(rows, F.col("c"), F.col("w"), F.lit(0.3)).select("event_id", "lower", "upper")
 
 
-@query("assign_sampled_interval")
+@query("assign_sampled_interval", """
+WITH u AS (
+  SELECT c_custkey AS ptid, round(c_acctbal) AS center, ('0x' || substr(md5(c_custkey || '|1'), 1, 10))::BIGINT / 1099511627776.0::DOUBLE AS a,
+         ('0x' || substr(md5(c_custkey || '|1|place'), 1, 10))::BIGINT / 1099511627776.0::DOUBLE AS b FROM customer),
+no AS (SELECT round(value) AS width, row_number() OVER (ORDER BY round(value)) - 1 AS n FROM events)
+SELECT ptid, center, width, center - round_even(width * b, 0) AS lower, center + round_even(width - round_even(width * b, 0), 0) AS upper
+FROM u JOIN no ON n = floor(a * (SELECT count(*) FROM events))""")
 def _(spark, d):
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("ptid"), F.round("c_acctbal").alias("center"))
     widths = table(spark, d, "events").select(F.round("value").alias("width"))
@@ -265,10 +287,15 @@ def _(spark, d):
     return r(out, 4, *[c for c in out.columns if c != "estimator"])
 
 
-@query("partition_bootstrap")
+@query("partition_bootstrap", sql(RESULTS, ERRORS, select=f"""
+, e AS (SELECT estimator, ptid, region, avg(error) AS error FROM errors GROUP BY ALL),
+pick AS (
+  SELECT ptid, replicate, region FROM (SELECT DISTINCT ptid, region FROM e), (SELECT unnest(range(0, 100))::INT AS replicate)
+  QUALIFY row_number() OVER (PARTITION BY ptid, replicate ORDER BY md5(replicate || '|' || ptid || '|' || region || '|1'), region) = 1)
+SELECT estimator, replicate, {SUMMARY} FROM e JOIN pick USING (ptid, region) GROUP BY estimator, replicate"""))
 def _(spark, d):
     e = errors(spark, d).groupBy("estimator", "ptid", F.col("region").alias("partition_id")).agg(F.avg("error").alias("error"))
-    return ev.partition_bootstrap(e, 100)
+    return r(ev.partition_bootstrap(e, 100), 4, *SUMMARY_COLS)
 
 
 @query("label_training_code", """

@@ -282,7 +282,9 @@ def _(spark, d):
     return rounded(fo.pairwise_diversity(unique(spark, d)), 6, *DIV_COLS)
 
 
-@query("fixed_size_subset")
+@query("fixed_size_subset", sql(ALN, select="""
+SELECT sample_id, seq_name FROM aln
+QUALIFY count(*) OVER (PARTITION BY sample_id ORDER BY ('0x' || substr(md5(seq_name), 1, 15))::BIGINT) <= 100"""))
 def _(spark, d):
     return fo.fixed_size_subset(alignment(spark, d), 100).select("sample_id", "seq_name")
 
