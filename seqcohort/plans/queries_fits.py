@@ -17,6 +17,8 @@ from seqcohort.plans.queries_scalars import CODON_SQL, HEADED, headed, mask_sql
 
 DOC = aln_sql("doc")
 SIX = ("lambda", "sd", "cons_lambda", "nbases", "check")
+# copies are those of the sequence that comes in, before gap columns of the consensus are dropped
+UNIQUE = UNIQUE_SQL.replace("seq_name, seq, count(*)", "seq_name, any_value(seq) AS seq, count(*)").replace("GROUP BY sample_id, seq)", "GROUP BY sample_id, raw)")
 COLUMNS = ("lambda", "max_hd", "n_pairs", "nseq", "sd", "cons_lambda", "nbases", "days", "days_low", "days_high", "check", "follows_star")
 
 
@@ -37,9 +39,9 @@ cons0 AS (
   SELECT sample_id, pos, base AS cons FROM (SELECT sample_id, pos, base, count(*) AS n FROM sites0 GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY sample_id, pos ORDER BY n DESC, base) = 1),
 aln AS (
-  SELECT sample_id, seq_idx, any_value(seq_name) AS seq_name, coalesce(string_agg(base, '' ORDER BY pos) FILTER (cons <> '-'), '') AS seq
+  SELECT sample_id, seq_idx, any_value(seq_name) AS seq_name, any_value(seq) AS raw, coalesce(string_agg(base, '' ORDER BY pos) FILTER (cons <> '-'), '') AS seq
   FROM sites0 JOIN cons0 USING (sample_id, pos) GROUP BY sample_id, seq_idx),
-owner AS (SELECT DISTINCT sample_id, outer_id FROM aln0),{SITES_SQL},{CONS_SQL},{UNIQUE_SQL},{PAIRS_SQL},{CONS_DIST},
+owner AS (SELECT DISTINCT sample_id, outer_id FROM aln0),{SITES_SQL},{CONS_SQL},{UNIQUE},{PAIRS_SQL},{CONS_DIST},
 {pool},{owned(HIST)},{owned(USTAT)},
 conv AS (
   SELECT sample_id, hd, sum(v) AS conv FROM (
