@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcohort.llm import exact_dedup, languages, mixing, packing, simhash
+from seqcohort.llm import exact_dedup, languages, mixing, near_copies, packing
 from seqcohort.llm.common import table
 from seqcohort.session import settle
 
@@ -69,9 +69,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by fingerprints the one with the smallest id stays (a null id only
-    where there is no other)."""
-    groups = settle(simhash.near_groups(docs, mark=row_mark(docs)))
+    """Of documents connected by pairs that share at least 0.8 of their five-word shingles the one
+    with the smallest id stays (a null id only where there is no other)."""
+    groups = settle(near_copies.near_groups(docs, row_mark(docs)))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "mark")
     first = groups.groupBy("root").agg(F.min(rank).alias("first"))
     decided = groups.join(first, "root").select("id", "mark", F.col("first").eqNullSafe(rank).alias("kept"))
