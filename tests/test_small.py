@@ -359,6 +359,22 @@ def test_threshold_zero_equals_sequential_with_codes(seqs, seed):
     assert got == {i + 1: r + 1 for i, r in greedy(len(rows), dist, 0, {}).items()}
 
 
+def test_distance_dedup_query_merges_through_codes(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # letters a to d become a c g t; j and z the codes r and n
+    texts = ["abcd" * 15, "jbcd" + "abcd" * 14, "abcd" * 14 + "abcz", "dddd" * 15, "abcd" * 15]
+    docs = spark.createDataFrame([(i + 1, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    from seqcohort.plans.inputs import alignment
+
+    rows = alignment(spark, str(tmp_path)).orderBy("seq_idx").collect()
+    dist = [[hamming(x.seq, y.seq, True) for y in rows] for x in rows]
+    want = {rows[i].seq_idx: rows[r].seq_idx for i, r in greedy(len(rows), dist, 0, {}).items()}
+    got = {r.idx: r.rep for r in entry.queries()["distance_dedup"](spark, str(tmp_path)).collect()}
+    assert got == want and set(want) == {200001, 300001, 500001}
+
+
 def test_unequal_lengths_are_an_error(seqs):
     with pytest.raises(Exception, match="differ in length"):
         pr.near_pairs(seqs("acg", "acgta"), 5).collect()
