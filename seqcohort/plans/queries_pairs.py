@@ -158,7 +158,7 @@ def _(spark, d):
 
 @query("dedup_to_max")
 def _(spark, d):
-    return dd.dedup_to_max(alignment(spark, d, "doc"), 400)
+    return dd.dedup_to_max(alignment(spark, d, "doc"), 20)
 
 
 @query("cluster_by_distance")

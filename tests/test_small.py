@@ -375,6 +375,15 @@ def test_distance_dedup_query_merges_through_codes(spark, tmp_path):
     assert got == want and set(want) == {200001, 300001, 500001}
 
 
+def test_dedup_to_max_query_reaches_common_samples(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    docs = [(1, "abcd" * 15 * 30, "en", "s"), (2, "abcd" * 15 * 20, "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.sample_id, r.idx, r.rep) for r in entry.queries()["dedup_to_max"](spark, str(tmp_path)).collect()}
+    assert got == {("d1", 100001 + i, 100001) for i in range(1, 30)}
+
+
 def test_unequal_lengths_are_an_error(seqs):
     with pytest.raises(Exception, match="differ in length"):
         pr.near_pairs(seqs("acg", "acgta"), 5).collect()
