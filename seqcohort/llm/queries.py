@@ -11,10 +11,13 @@ from seqcohort.llm.exact_dedup import exact_dedup
 from seqcohort.llm.hash_forest import nearest
 from seqcohort.llm.mixing import count_tokens, mix, mix_sql, token_rows
 from seqcohort.llm.packing import pack
+from seqcohort.llm.periodic_runs import periodic_runs
 from seqcohort.llm.prefix_free import remove_repeats
 from seqcohort.llm.simhash import near_groups
 from seqcohort.llm.token_counts import token_counts
+from seqcohort.llm.top_k import best
 from seqcohort.llm.warc import round_trip
+from seqcohort.llm.whitening import whiten
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +108,61 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(items).withColumnRenamed("id", "doc_id")
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.id % 100 = 0 AND c.id <> q.id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: where h = crc32(doc_id) ends in 0, the words from word a on repeat p of them,
+    with a = g mod n, p = 1 + floor((n - a) / (3 + g mod 8)) and g = floor(h / 10)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    looped = F.coalesce(h % 10 == 0, F.lit(False))
+    words = F.when(looped, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).otherwise(F.array().cast("array<string>"))
+    g, n = F.floor(h / 10), F.size("words")
+    at = docs.select("doc_id", "text", words.alias("words"), g.alias("g")).withColumn(
+        "a", F.when(n > 0, F.col("g") % n).otherwise(0).cast("int")
+    ).withColumn("p", (F.floor((n - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(block, times)), F.lit(1), n - F.col("a"))
+    text = F.when(n > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text"))
+    return at.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = F.col("runs")
+    text = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    # Runs come by start, then period: of equal exponents the first is wanted.
+    top = F.aggregate(
+        F.slice(runs, 2, F.greatest(F.lit(1), F.size(runs))), F.get(runs, F.lit(0)),
+        lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best),
+    )
+    return periodic_runs(with_loops(table(spark, sf_dir, "documents"))).select(
+        F.col("id").alias("doc_id"), F.size(runs).cast("long").alias("n_runs"), top.alias("top"),
+        F.sha2(F.when(F.size(runs) > 0, F.concat(text, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "top.*", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -116,9 +174,13 @@ QUERIES = {
     "op8_hash_forest": op8_hash_forest,
     "op9_prefix_free_parsing": op9_prefix_free_parsing,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op5_mix_sources": mix_sql(),
     "op7_warc": OP7_SQL,
+    "op11_exact_top_k": OP11_SQL,
 }
