@@ -4,12 +4,22 @@ Two texts are near duplicates if the Jaccard similarity of their distinct shingl
 ``simhash``, told apart by XXH64) is at least ``similarity``; groups are what such pairs connect.
 
 Fingerprints alone cannot say this: at a similarity of 0.8 they lie farther apart than any radius
-that buckets could search. They find the closest copies first, which ties large groups together
-cheaply. All other candidates come from MinHash bands: a pair of similarity s misses all bands with
-a chance of (1 - s ** DEPTH) ** BANDS, 5e-8 at 0.8 and less above. Every candidate is decided on
-the whole shingle sets; pairs that are connected already are not looked at again. In buckets of
-many rows a few rounds compare all with one member, so that a large group of copies is tied
-together before its pairs would be listed.
+that buckets could search. They find the closest copies first (``simhash.fingerprint_links``), which
+ties large groups together cheaply. Of the other texts those go on that meet a different set in a
+MinHash band: a text that is similar (at s) to another misses all of its bands with a chance of
+(1 - s ** DEPTH) ** BANDS, 5e-8 at 0.8 and less above. Among these the search is exact. Shingles are
+ordered by rarity, and two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 of
+each; only these are indexed, without shingles of one text. A shared one must leave enough shingles
+behind it in both, and sizes must fit. Every remaining pair is decided on the whole sets; pairs
+that are connected already are not looked at again. For a few rounds all texts of a key meet one
+of them first, so that a large group of copies is tied together before its pairs would be listed;
+keys whose texts are all connected leave the index.
+
+Texts and sets are told apart by 128 bits or more. Null texts count as empty; texts without words
+are one another's near duplicates and nobody else's; texts of fewer words than a shingle have one
+shingle. Very long texts are taken whole. Rows of one id, equal rows and null ids are rows of their
+own, an empty table gives an empty one, and only the named columns are read. Which text stands for
+a group is arbitrary, the grouping is not.
 """
 
 from __future__ import annotations
@@ -19,18 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqcohort.llm.common import utf8
 from seqcohort.llm.components import components
 from seqcohort.llm.simhash import SEED, fingerprint_links, word_pieces
-from seqcohort.session import settle
+from seqcohort.session import release, settle
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, DEPTH = 32, 4
-# Buckets of more rows, and at most so many rounds, in which all meet one member first.
-LARGE, ROUNDS, TILE = 32, 8, 512
+# Above so many pairs left per row of the index, and at most so often, all texts of a key meet one first.
+LARGE, ROUNDS, TILE = 4, 8, 512
 MIX = np.random.default_rng(2025).integers(0, 2**64, (2, BANDS * DEPTH, 1), dtype=np.uint64)
 MIX[0] |= np.uint64(1)
 
@@ -60,8 +70,12 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * tally > len(hashes)).view(">u8")[0]) if len(hashes) else 0
 
 
-def node_of(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+def node_of(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def band_keys(shingles: np.ndarray) -> list[int]:
@@ -94,34 +108,65 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str, width: int, mark: C
                 ends.append(len(keys))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), longs(keys))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], longs(node), pa.array(n, pa.int64()), longs(fp), lists],
+                [*batch.columns[:3], pa.array(node, pa.binary()), pa.array(n, pa.int64()), longs(fp), lists],
                 ["id", "mark", "digest", "node", "n", "fp", "keys"],
             )
 
     text = F.col(text_col).cast("string")
     return docs.select(
-        F.col(id_col).cast("long").alias("id"), mark.cast("long").alias("mark"), F.xxhash64(text).alias("digest"), text.alias("text")
-    ).mapInArrow(run, "id long, mark long, digest long, node long, n long, fp long, keys array<long>")
+        F.col(id_col).cast("long").alias("id"), mark.cast("long").alias("mark"), text_digest(text).alias("digest"), text.alias("text")
+    ).mapInArrow(run, "id long, mark long, digest binary, node binary, n long, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` of one text for each ``digest`` in ``wanted``."""
+    """``node, n, shingles`` of one text for each ``digest`` in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 sets = [np.unique(shingle_hashes(text, width)) for text in utf8(batch.column(0).slice(start, 64))]
                 yield pa.RecordBatch.from_arrays(
-                    [longs([node_of(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"]
+                    [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "shingles"]
                 )
 
     text = F.col(text_col).cast("string")
-    texts = docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).join(wanted, "digest", "left_semi")
-    return texts.groupBy("digest").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "node long, shingles binary")
+    texts = docs.select(text_digest(text).alias("digest"), text.alias("text")).join(wanted, "digest", "left_semi")
+    return texts.groupBy("digest").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "node binary, n long, shingles binary")
+
+
+def prefix_index(sets: DataFrame, similarity: float) -> DataFrame:
+    """``key, nid, n, at``: the rarest shingles of each set, by which similar sets meet, and their
+    places in the order of rarity; keys of one set are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nid, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if n:
+                    key = np.frombuffer(raw.as_buffer(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(n, nid)), pa.array(np.full(n, n))], ["key", "nid", "n"])
+
+    shingles = sets.select("nid", "n", "shingles").mapInArrow(run, "key long, nid long, n long")
+    often = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    shared = shingles.join(often, "key")
+    mine = Window.partitionBy("nid")
+    # Shingles of one text come first in the order and need no place in the index.
+    at = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "key"))
+    first = shared.select("key", "nid", "n", at.alias("at")).filter(F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+    return keys_apart(first, "nid")
+
+
+def keys_apart(index: DataFrame, label: str) -> DataFrame:
+    """Rows of the keys that hold more than one ``label``."""
+    index = settle(index)
+    apart = index.groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo <> hi").select("key")
+    out = settle(index.join(apart, "key", "left_semi"))
+    release(index)
+    return out
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``a, b`` of nodes whose sets of shingles are similar enough."""
+    """Those of the pairs ``a, b`` (``nid``) whose sets of shingles are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,8 +178,8 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                     kept.append(i)
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -142,52 +187,81 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def joined_groups(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, root`` after the links ``found`` (``a, b``): groups are joined by their roots."""
+    for end in "ab":
+        found = found.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    links = found.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    up = settle(components(links))
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select(
+        "node", F.coalesce("up", "root").alias("root")
+    )
+    return settle(moved.unionAll(up.join(roots.select("node"), "node", "left_anti")))
+
+
 def near_groups(docs: DataFrame, mark: Column, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                 similarity: float = SIMILARITY, radius: int = 4) -> DataFrame:
     """``id, mark, fp, root`` of every row; root names the group. ``mark`` is a long of the
     caller's to tell rows of one id apart."""
     rows = settle(sketch_rows(docs, id_col, text_col, width, mark))
-    # Bands in which nodes meet.
-    all_keys = rows.select("node", "n", F.explode("keys").alias("key")).distinct()
-    met = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = settle(all_keys.join(met, "key"))
+    keys = rows.select("node", F.explode("keys").alias("key"))
+    met = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     # The closest copies: nodes of one fingerprint, and links between fingerprints.
     prints = settle(rows.groupBy("fp").agg(F.min("node").alias("low")))
     links = settle(fingerprint_links(prints.select("fp"), radius))
     low_a, low_b = (prints.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab")
     close = links.join(low_a, "a").join(low_b, "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
     equal = rows.select("node", "fp").distinct().join(prints, "fp").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    pairs = settle(ordered(close.unionAll(equal)))
-
-    nodes = members.select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
-    wanted = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest")
-    sets = settle(shingle_sets(docs, text_col, width, settle(wanted)).dropDuplicates(["node"]))
-
-    found, tested, roots = settle(similar(pairs, sets, similarity)), pairs, None
-    fits = F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9
+    close = settle(ordered(close.unionAll(equal)))
+
+    nodes = keys.join(met, "key", "left_semi").select("node").unionAll(close.select("a")).unionAll(close.select("b")).distinct()
+    wanted = settle(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")).select("digest"))
+    sets = settle(shingle_sets(docs, text_col, width, wanted).dropDuplicates(["node"]).withColumn("nid", F.monotonically_increasing_id()))
+    names = sets.select("node", "nid")
+    pairs = settle(ordered(
+        close.join(names.toDF("a", "i"), "a").join(names.toDF("b", "j"), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    ))
+    found = settle(similar(pairs, sets, similarity))
+    none = settle(found.limit(0).toDF("node", "root"))
+    roots, tested = joined_groups(none, found), pairs
+    release(prints, links, close, wanted, found, none)
+
+    def named(index: DataFrame) -> DataFrame:
+        who = roots.withColumnRenamed("node", "nid")
+        return index.join(who, "nid", "left").select("key", "nid", "n", "at", F.coalesce("root", "nid").alias("root"))
+
+    # So many shingles must be shared, and a shared one leaves so many behind it.
+    need = similarity / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - 1e-9
+    fits = (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9) & (
+        1 + F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= need
+    )
+    index = prefix_index(sets, similarity)
     for turn in range(ROUNDS + 1):
-        roots = settle(components(found))
-        named = settle(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        # Pairs of different groups that meet in large buckets, the number of which bounds the list below.
-        shares = named.filter(F.col("size") > LARGE).groupBy("key", "size", "root").count()
-        apart = shares.groupBy("key", "size").agg(F.sum(F.col("count").cast("double") ** 2).alias("same")).filter("same < size * size")
-        apart = settle(apart.withColumn("pairs", F.col("size").cast("double") ** 2 - F.col("same")))
-        if turn == ROUNDS or (apart.agg(F.sum("pairs")).first()[0] or 0) <= LARGE * members.count():
+        before, index = index, keys_apart(named(index), "root")
+        release(before)
+        shares = index.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        left = shares.groupBy("key").agg((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        if turn == ROUNDS or left <= LARGE * index.count():
             break
-        large = named.join(apart.select("key"), "key", "left_semi")
-        centre = large.groupBy("key").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", F.lit(turn))).alias("r"))
-        star = large.alias("l").join(centre, "key").filter((F.col("l.root") != F.col("r.root")) & fits)
-        pairs = settle(ordered(star.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))).join(tested, ["a", "b"], "left_anti"))
-        found = settle(found.unionAll(similar(pairs, sets, similarity)))
-        tested = settle(tested.unionAll(pairs))
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    left = named.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).alias("l")
-    right = named.withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))).alias("r")
-    rest = left.join(right, ["key", "tile"]).filter((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & fits)
-    pairs = ordered(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))).join(tested, ["a", "b"], "left_anti")
-    found = settle(found.unionAll(similar(settle(pairs), sets, similarity)))
-    roots = settle(components(found))
-    # One row per node on the right: a node of very many rows is split by the adaptive join.
-    return rows.select("id", "mark", "fp", "node").join(roots, "node", "left").select(
-        "id", "mark", "fp", F.coalesce("root", "node").alias("root")
+        centre = index.groupBy("key").agg(F.min_by(F.struct("nid", "root", "n", "at"), F.xxhash64("nid", F.lit(turn))).alias("r"))
+        star = index.alias("l").join(centre, "key").filter((F.col("l.root") != F.col("r.root")) & fits)
+        pairs = settle(ordered(star.select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"))).join(tested, ["a", "b"], "left_anti"))
+        found = settle(similar(pairs, sets, similarity))
+        tested = tested.unionAll(pairs)
+        before, roots = roots, joined_groups(roots, found)
+        release(before, found)
+        index = index.drop("root")
+    if left:
+        sized = index.join(index.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "key")
+        one = sized.withColumn("tile", F.pmod(F.xxhash64("nid"), F.col("tiles")).cast("int")).alias("l")
+        other = sized.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("r")
+        rest = one.join(other, ["key", "tile"]).filter((F.col("l.nid") < F.col("r.nid")) & (F.col("l.root") != F.col("r.root")) & fits)
+        pairs = settle(ordered(rest.select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"))).join(tested, ["a", "b"], "left_anti"))
+        roots = joined_groups(roots, similar(pairs, sets, similarity))
+    release(index)
+    # A group is named by the least node in it; one row per node on the right, so that a node of very many rows is split.
+    member = names.join(roots.withColumnRenamed("node", "nid"), "nid").select("node", "root")
+    title = settle(member.join(member.groupBy("root").agg(F.min("node").alias("title")), "root").select("node", "title"))
+    return rows.select("id", "mark", "fp", "node").join(title, "node", "left").select(
+        "id", "mark", "fp", F.coalesce("title", "node").alias("root")
     )

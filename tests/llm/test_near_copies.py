@@ -19,21 +19,26 @@ def similarity(a, b):
     return len(a & b) / len(a | b)
 
 
-def brute_keep(rows):
-    """The least id of each group; ids are distinct."""
-    sets = {i: shingles(t) for i, t in rows}
-    root = {i: i for i in sets}
+def brute_roots(sets):
+    """The first of each set's group."""
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(sets, 2):
+    for a, b in itertools.combinations(range(len(sets)), 2):
         if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    return {find(i) for i in sets}
+    return [find(i) for i in range(len(sets))]
+
+
+def brute_keep(rows):
+    """The least id of each group; ids are distinct and rise."""
+    roots = brute_roots([shingles(t) for _, t in rows])
+    return {rows[i][0] for i in roots}
 
 
 def planted(n=60, copies=5, seed=7):

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline as pipeline
 from seqcohort.llm import mixing
 from tests.llm import cases
-from tests.llm.test_duplicates import brute_fp, brute_groups
+from tests.llm.test_near_copies import brute_roots, shingles
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -46,12 +46,11 @@ def test_stages_equal_brute_force(spark):
     assert len(got) == len(want)
 
     third = pipeline.near_duplicates(spark, second, "")
-    group = brute_groups([brute_fp(r.text) for r in got])
+    group = dict(enumerate(brute_roots([shingles(r.text) for r in got])))
     low = {}
-    for r in got:
-        g = group[brute_fp(r.text)]
+    for i, r in enumerate(got):
         rank = (r.doc_id is None, r.doc_id)
-        low[g] = min(low.get(g, rank), rank, key=lambda x: (x[0], x[1] or 0))
+        low[group[i]] = min(low.get(group[i], rank), rank, key=lambda x: (x[0], x[1] or 0))
     left = third.collect()
     assert sorted(map(repr, ((r.doc_id is None, r.doc_id) for r in left))) == sorted(map(repr, low.values()))
 
