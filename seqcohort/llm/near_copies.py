@@ -11,8 +11,8 @@ MinHash band: a text that is similar (at s) to another misses all of its bands w
 ordered by rarity, and two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 of
 each; only these are indexed, without shingles of one text. A shared one must leave enough shingles
 behind it in both, and sizes must fit. Every remaining pair is decided on the whole sets; pairs
-that are connected already are not looked at again. For a few rounds all texts of a key meet one
-of them first, so that a large group of copies is tied together before its pairs would be listed;
+that are connected already are not looked at again. For a few rounds all texts of a key meet a
+few of them first, so that a large group of copies is tied together before its pairs would be listed;
 keys whose texts are all connected leave the index.
 
 Texts and sets are told apart by 128 bits or more. Null texts count as empty; texts without words
@@ -39,8 +39,8 @@ from seqcohort.session import release, settle
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, DEPTH = 32, 4
-# Above so many pairs left per row of the index, and at most so often, all texts of a key meet one first.
-LARGE, ROUNDS, TILE = 4, 8, 512
+# Above so many pairs left per row of the index, and at most so often, all texts of a key meet so many of them first.
+LARGE, ROUNDS, CENTRES, TILE = 32, 3, 4, 512
 MIX = np.random.default_rng(2025).integers(0, 2**64, (2, BANDS * DEPTH, 1), dtype=np.uint64)
 MIX[0] |= np.uint64(1)
 
@@ -187,18 +187,6 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def joined_groups(roots: DataFrame, found: DataFrame) -> DataFrame:
-    """``node, root`` after the links ``found`` (``a, b``): groups are joined by their roots."""
-    for end in "ab":
-        found = found.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    links = found.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    up = settle(components(links))
-    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select(
-        "node", F.coalesce("up", "root").alias("root")
-    )
-    return settle(moved.unionAll(up.join(roots.select("node"), "node", "left_anti")))
-
-
 def near_groups(docs: DataFrame, mark: Column, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                 similarity: float = SIMILARITY, radius: int = 4) -> DataFrame:
     """``id, mark, fp, root`` of every row; root names the group. ``mark`` is a long of the
@@ -221,44 +209,40 @@ def near_groups(docs: DataFrame, mark: Column, id_col: str = "doc_id", text_col:
     pairs = settle(ordered(
         close.join(names.toDF("a", "i"), "a").join(names.toDF("b", "j"), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
     ))
-    found = settle(similar(pairs, sets, similarity))
-    none = settle(found.limit(0).toDF("node", "root"))
-    roots, tested = joined_groups(none, found), pairs
-    release(prints, links, close, wanted, found, none)
-
-    def named(index: DataFrame) -> DataFrame:
-        who = roots.withColumnRenamed("node", "nid")
-        return index.join(who, "nid", "left").select("key", "nid", "n", "at", F.coalesce("root", "nid").alias("root"))
+    found, tested, roots = settle(similar(pairs, sets, similarity)), pairs, None
+    release(prints, links, close, wanted)
 
     # So many shingles must be shared, and a shared one leaves so many behind it.
     need = similarity / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - 1e-9
     fits = (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9) & (
         1 + F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= need
     )
-    index = prefix_index(sets, similarity)
+    index, left = prefix_index(sets, similarity).withColumn("root", F.col("nid")), 0
     for turn in range(ROUNDS + 1):
-        before, index = index, keys_apart(named(index), "root")
-        release(before)
-        shares = index.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        left = shares.groupBy("key").agg((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        if turn == ROUNDS or left <= LARGE * index.count():
+        shares = index.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        per_key = shares.groupBy("key").agg(F.sum("n").alias("rows"), (F.sum("n").cast("double") ** 2 - F.sum(F.col("n").cast("double") ** 2)).alias("pairs"))
+        rows_left, left = per_key.agg(F.sum("rows"), F.sum("pairs")).first()
+        if turn == ROUNDS or not left or left <= LARGE * rows_left:
             break
-        centre = index.groupBy("key").agg(F.min_by(F.struct("nid", "root", "n", "at"), F.xxhash64("nid", F.lit(turn))).alias("r"))
+        some = [F.min_by(F.struct("nid", "root", "n", "at"), F.xxhash64("nid", F.lit(turn * CENTRES + k))) for k in range(CENTRES)]
+        centre = index.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("r")).select("key", F.explode("r").alias("r"))
         star = index.alias("l").join(centre, "key").filter((F.col("l.root") != F.col("r.root")) & fits)
         pairs = settle(ordered(star.select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"))).join(tested, ["a", "b"], "left_anti"))
-        found = settle(similar(pairs, sets, similarity))
-        tested = tested.unionAll(pairs)
-        before, roots = roots, joined_groups(roots, found)
-        release(before, found)
-        index = index.drop("root")
+        tested, found = tested.unionAll(pairs), found.unionAll(settle(similar(pairs, sets, similarity)))
+        release(roots)
+        roots = settle(components(found))
+        who = roots.withColumnRenamed("node", "nid")
+        before, index = index, keys_apart(index.drop("root").join(who, "nid", "left").withColumn("root", F.coalesce("root", "nid")), "root")
+        release(before)
     if left:
         sized = index.join(index.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "key")
         one = sized.withColumn("tile", F.pmod(F.xxhash64("nid"), F.col("tiles")).cast("int")).alias("l")
         other = sized.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("r")
         rest = one.join(other, ["key", "tile"]).filter((F.col("l.nid") < F.col("r.nid")) & (F.col("l.root") != F.col("r.root")) & fits)
         pairs = settle(ordered(rest.select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"))).join(tested, ["a", "b"], "left_anti"))
-        roots = joined_groups(roots, similar(pairs, sets, similarity))
-    release(index)
+        found = found.unionAll(settle(similar(pairs, sets, similarity)))
+    release(index, roots)
+    roots = components(found)
     # A group is named by the least node in it; one row per node on the right, so that a node of very many rows is split.
     member = names.join(roots.withColumnRenamed("node", "nid"), "nid").select("node", "root")
     title = settle(member.join(member.groupBy("root").agg(F.min("node").alias("title")), "root").select("node", "title"))
