@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqcohort.operators import dedup as dd
+from seqcohort.operators import linkage as lk
 from seqcohort.operators import scalars as sc
 from seqcohort.plans import fits
 from seqcohort.plans.catalog import query
@@ -114,3 +115,10 @@ def _(spark, d):
     """Clusters by distance, then the fit within them."""
     rows = alignment(spark, d)
     return shown(fits.multifounder_fit(rows, dd.cluster_by_distance(rows, 20)), "sample_id")
+
+
+@query("linkage_fit")
+def _(spark, d):
+    """Average-linkage clusters, then the fit within them."""
+    rows = alignment(spark, d, "doc")
+    return shown(fits.multifounder_fit(rows, lk.cluster_by_linkage(rows)), "sample_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqcohort.functions import formulas as fm
 from seqcohort.operators import dedup as dd
 from seqcohort.operators import founder as fo
+from seqcohort.operators import linkage as lk
 from seqcohort.operators import pairs as pr
 from seqcohort.operators import sites as st
 from seqcohort.plans import report
@@ -310,6 +311,6 @@ def _(spark, d):
 
 @query("sample_report")
 def _(spark, d):
-    """With clusters found by distance, so that calls and multi-founder columns are filled."""
+    """With average-linkage clusters, so that calls and multi-founder columns are filled."""
     rows = alignment(spark, d, "doc")
-    return report.sample_report(rows, dd.cluster_by_distance(rows, 20))
+    return report.sample_report(rows, lk.cluster_by_linkage(rows))

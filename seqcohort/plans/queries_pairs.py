@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqcohort.operators import dedup as dd
 from seqcohort.operators import founder as fo
 from seqcohort.operators import joins as jn
+from seqcohort.operators import linkage as lk
 from seqcohort.operators import pairs as pr
 from seqcohort.operators import scalars as sc
 from seqcohort.operators import sites as st
@@ -166,6 +167,11 @@ def _(spark, d):
     return dd.cluster_by_distance(alignment(spark, d), 20)
 
 
+@query("cluster_by_linkage")
+def _(spark, d):
+    return lk.cluster_by_linkage(alignment(spark, d, "doc"))
+
+
 @query("cluster_consensus", sql(ALN, SITES_SQL, """
 both_n AS (
   SELECT source AS ptid, lang AS cluster, pos, base, count(*) AS n
