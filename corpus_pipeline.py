@@ -17,13 +17,20 @@ from seqcohort.llm.common import table
 from seqcohort.session import settle
 
 
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_mark(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    """Hash of all columns; those that hold maps, which have no hash, as JSON."""
+    return F.xxhash64(*[
+        F.to_json(F.struct(column(f.name).alias("c"))) if '"map"' in f.dataType.json() else column(f.name) for f in docs.schema
+    ])
 
 
 def with_keys(docs: DataFrame, mark: Column) -> DataFrame:
     """``row`` (all columns of ``docs``), ``id`` and ``mark``."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
+    return docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
 
 
 def same_row(left: DataFrame, right: DataFrame) -> Column:
