@@ -6,8 +6,9 @@ family, one linear support vector machine per pair of its languages (one-versus-
 hinge loss, on root-scaled n-gram shares of length one) votes; ties go to the larger summed
 margin, then to the name. Languages not in the family list make a family of their own.
 
-Counts come from every labelled text. The machines are fitted on a sample of at most about
-``per_language`` texts a language, chosen by a hash of the row, each pair in a task of its own.
+Counts come from every labelled text. The machines are fitted on at most ``per_language`` distinct
+texts a language, those of the least hashes, each pair in a task of its own; ids play no part, so
+null, shared and repeated ids change nothing.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and all texts
 where nothing is labelled. Long texts are read whole, in pieces.
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqcohort.llm.common import texts
@@ -137,7 +138,7 @@ def labelled_rows(docs: DataFrame, train: Column, text_col: str, lang_col: str,
     return rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
+def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang",
         per_language: int = 500, families: dict[str, str] | None = None) -> Model | None:
     """The model of the rows where ``train`` holds; None if none is labelled. What comes to the
     driver is one row per language and n-gram slot, and one per pair of a family's languages."""
@@ -176,16 +177,18 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     weights = {f: np.zeros((SIZE + 1, len(p)), np.float32) for f, p in pairs.items()}
     if todo:
         spark = docs.sparkSession
-        share = spark.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in number.items()], "lang string, share double")
         wanted = spark.createDataFrame(
             [(f, a, b, lang, sign) for f, a, b, one, two in todo for lang, sign in ((one, 1), (two, -1))],
             "family string, a int, b int, lang string, sign int",
         )
-        # Both tables have one row per language or pair: their size is bounded by the labels.
-        draw = F.pmod(F.xxhash64(F.lit("svm"), F.col(id_col)), F.lit(1_000_003)) / 1_000_003.0
-        sample = labelled_rows(docs, train, text_col, lang_col, draw).join(F.broadcast(share), "lang").filter(
-            F.col("draw") < F.col("share")
-        ).select("lang", "text")
+        # Of every language the texts of the least hashes, equal ones once, so that ids play no part; both
+        # broadcast tables are bounded by the labels and ``per_language``.
+        keyed = labelled_rows(docs, train, text_col, lang_col, F.sha2(F.col(text_col).cast("string"), 256))
+        drawn = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("svm"), "draw"), "draw")
+        chosen = keyed.groupBy("lang", "draw").count().withColumn("place", F.row_number().over(drawn)).filter(
+            F.col("place") <= per_language
+        ).select("lang", "draw")
+        sample = keyed.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "draw").agg(F.first("text").alias("text")).select("lang", "text")
 
         def shares(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in stream:

@@ -149,7 +149,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     ``n_features`` features and, for at most about ``bound`` texts, which of them are present."""
     chosen = settle(sample_labels(labels, train, bound))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = settle(source.join(F.broadcast(chosen), "id").select("toxic", "weight", "text"))
+    # One id may stand on many rows: equal ones count once, others are drawn by their texts down to the bound.
+    met = source.join(F.broadcast(chosen), "id").groupBy("id", "toxic", "weight", F.sha2("text", 256)).agg(F.first("text").alias("text"))
+    sample = settle(met)
+    many = sample.count()
+    if many > 1.1 * bound:
+        draw = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) / 1_000_003.0
+        sample = sample.filter(draw < bound / many)
+    sample = sample.select("toxic", "weight", "text")
     sizes = {r.toxic: r.w for r in sample.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
     if len(sizes) < 2:
         return Model({}, np.zeros(0), 40.0 if 1 in sizes else -40.0)

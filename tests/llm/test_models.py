@@ -130,3 +130,28 @@ def test_token_counts_of_odd_characters(monkeypatch):
         batch.append(s.upper() if k % 7 == 0 else s)
     want = [len(library.encode(s, add_special_tokens=False).ids) for s in batch]
     assert [n for i in range(0, len(batch), 50) for n in counter.count(batch[i:i + 50])] == want
+
+
+def test_language_samples_do_not_depend_on_ids(spark):
+    """Null and shared ids: every pair of languages is trained, on at most ``per_language`` texts."""
+    rng = random.Random(5)
+    words = {"en": "the house and river of stone with light".split(), "de": "das haus und der fluss aus stein mit licht".split()}
+    rows = [(None if i % 2 else 7, " ".join(rng.choice(words[lang]) for _ in range(12)), lang) for i in range(400) for lang in words]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languages.fit(docs, F.lit(True), per_language=10)
+    assert all(abs(w[:, k]).max() > 0 for w in model.weights.values() for k in range(w.shape[1]))
+    said = languages.predict(docs, model).collect()
+    want = [r.lang for r in docs.collect()]
+    assert sum(s.lang_pred == w for s, w in zip(said, want)) > 0.95 * len(want)
+
+
+def test_toxicity_bound_holds_for_shared_ids(spark, monkeypatch):
+    rows = [(i % 4, f"plain words number {i}" if i % 2 else f"awful idiot number {i}") for i in range(3000)] + [(0, "awful idiot")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(4)], "doc_id long, toxic int")
+    seen = []
+    newton = toxicity.newton
+    monkeypatch.setattr(toxicity, "newton", lambda x, *a: seen.append(len(x)) or newton(x, *a))
+    model = toxicity.fit(docs, labels, F.lit(True), bound=200)
+    assert 0 < seen[0] < 300
+    assert model.score("awful idiot") > 0.5 > model.score("plain words")

@@ -92,3 +92,12 @@ def test_run_writes_every_stage(spark, tmp_path):
     cases.documents(spark, extra="note string, a long, b long, c string, d int").drop("note", "a", "b", "c", "d").write.parquet(f"{tmp_path}/documents.parquet")
     out = pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "copy", "piece", "bin", "offset", "length"] and out.count() > 0
+
+
+def test_row_marks_of_maps_and_odd_names(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, 'a b c' AS text, 's' AS source, map('k', 1) AS `odd``name`, array(map(1, 2)) AS deep "
+                     "UNION ALL SELECT 1L, 'a b c', 's', map('k', 2), array(map(1, 2))")
+    assert docs.select(pipeline.row_mark(docs).alias("m")).distinct().count() == 2
+    out = pipeline.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns and out.count() > 0
+    assert pipeline.near_duplicates(spark, docs, "").count() == 1
