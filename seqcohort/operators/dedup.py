@@ -270,7 +270,7 @@ def cluster_by_distance(df: DataFrame, cut: int, keys: Sequence[str] = KEYS, idx
         return everyone.withColumn("cluster", F.lit(1).cast("bigint"))
     informative = settle(st.informative_subalignment(df.select(*keys, idx, F.lit("").alias("seq_name"), seq), keys, "seq_name", seq))
     unique = informative.groupBy(*keys, seq).agg(F.min(idx).alias(idx))
-    links = settle(pr.near_pairs(unique, cut, keys, idx, seq).select(*keys, "a", "b"))
+    links = settle(pr.near_links(unique, cut, keys, idx, seq))
     component = connected_components(unique.select(*keys, F.col(idx).alias("idx")), links, keys)
     # number the components of a sample: their count is small beside the sequences
     heads = component.filter("idx = component").select(*keys, "component")

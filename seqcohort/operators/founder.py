@@ -162,9 +162,11 @@ def propagate_exclusion(excluded: DataFrame, duplicates: DataFrame, keys: Sequen
 
 
 def distance_histogram(unique: DataFrame, keys: Sequence[str] = KEYS, idx: str = "seq_idx", seq: str = "seq",
-                       mult: str = "mult", include_gaps: bool = False) -> DataFrame:
-    """Weighted number of pairs per distance; the copies of one sequence add to bin 0."""
-    between = pr.pair_histogram(unique, keys, idx, seq, mult, include_gaps).select(*keys, "hd", "n")
+                       mult: str = "mult", include_gaps: bool = False, between: DataFrame | None = None) -> DataFrame:
+    """Weighted number of pairs per distance; the copies of one sequence add to bin 0.
+    ``between`` (``hd, n``) is the histogram of distinct sequences where it is already known."""
+    if between is None:
+        between = pr.pair_histogram(unique, keys, idx, seq, mult, include_gaps).select(*keys, "hd", "n")
     copies = unique.groupBy(*keys).agg(
         F.sum(fm.choose2(F.col(mult))).cast("bigint").alias("n")
     ).select(*keys, F.lit(0).alias("hd"), "n")

@@ -26,6 +26,7 @@ KEYS = ("sample_id",)
 BLOCK_ROWS = 1024
 BLOCK_CHARS = 1 << 23
 FLUSH_ROWS = 200_000
+SUMS = ("s0", "s1", "s2", "q0", "q1", "q2")
 
 
 def _tiles(df: DataFrame, keys: Sequence[str], idx: str, seq: str, mult: str | None, block_rows: int,
@@ -207,12 +208,7 @@ def pair_histogram(
         base = int(compared.max(initial=0)) + 1 if with_compared else 1
         if with_compared:
             code = code * base + compared
-        copies = not ((a.mult == 1).all() and (b.mult == 1).all())
-        weight = np.multiply.outer(a.mult, b.mult) if copies else None
-        if diag:
-            above = np.triu_indices(a.n, 1)
-            code, weight = code[above], weight[above] if copies else None
-        value, n, pairs = _tally(code.ravel(), None if weight is None else weight.ravel())
+        value, n, pairs = _histogram(code, a, b, diag)
         return {
             "hd": (value // base).astype(np.int32), "compared": (value % base).astype(np.int32),
             "n": n, "n_pairs": pairs.astype(np.int64),
@@ -246,6 +242,115 @@ def near_pairs(
                 per_tile, idx, seq, None, block_rows, focus)
 
 
+def spanning_links(hit: np.ndarray, diag: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of links that connect what the hits of a tile connect: a
+    spanning forest, hence fewer links than the tile has rows and columns."""
+    views = (hit, hit) if diag else (hit, np.ascontiguousarray(hit.T))
+    rows = np.ones(hit.shape[0], bool)
+    free = (rows, rows if diag else np.ones(hit.shape[1], bool))
+    found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+    for start in range(len(rows)):
+        if not rows[start]:
+            continue
+        rows[start] = False
+        reached = [(0, start)]
+        while reached:
+            side, i = reached.pop()
+            new = np.nonzero(views[side][i] & free[1 - side])[0]
+            free[1 - side][new] = False
+            found[side].append(np.full(len(new), i))
+            found[1 - side].append(new)
+            reached += [(1 - side, j) for j in new.tolist()]
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
+def near_links(
+    df: DataFrame, max_distance: int, keys: Sequence[str] = KEYS, idx: str = "seq_idx",
+    seq: str = "seq", include_gaps: bool = False, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Links ``a < b`` with the connected components of ``near_pairs``: of the pairs of a tile
+    only a spanning forest leaves it, so a group of n sequences gives at most n links per
+    block of it that it meets, whatever the number of its pairs."""
+
+    def per_tile(a: Block, b: Block, diag: bool) -> dict:
+        differ, _, indel = compare(a, b, include_gaps, False)
+        i, j = spanning_links(_distance(differ, indel) <= max_distance, diag)
+        ia, ib = a.ids[i], b.ids[j]
+        return {"a": np.minimum(ia, ib), "b": np.maximum(ia, ib)}
+
+    return _run(df, keys, "a bigint, b bigint", per_tile, idx, seq, None, block_rows)
+
+
+def _histogram(code: np.ndarray, a: Block, b: Block, diag: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes of a tile's pairs with their weight and count."""
+    copies = not ((a.mult == 1).all() and (b.mult == 1).all())
+    weight = np.multiply.outer(a.mult, b.mult) if copies else None
+    if diag:
+        above = np.triu_indices(a.n, 1)
+        code, weight = code[above], weight[above] if copies else None
+    return _tally(code.ravel(), None if weight is None else weight.ravel())
+
+
+def _moments(d: np.ndarray, a: Block, b: Block, diag: bool) -> dict[str, np.ndarray]:
+    """Per-sequence sums of one tile, for both of its sides."""
+    d = d.astype(np.float64)
+    present = np.ones_like(d)
+    if diag:
+        np.fill_diagonal(present, 0.0)
+
+    def sums(dist, there, ids, own, other):
+        m, m2 = other, other * other
+        return {
+            "idx": ids, "m": own,
+            "s0": there @ m, "s1": dist @ m, "s2": (dist * dist) @ m,
+            "q0": there @ m2, "q1": dist @ m2, "q2": (dist * dist) @ m2,
+        }
+
+    first = sums(d, present, a.ids, a.mult, b.mult)
+    if diag:
+        return first
+    second = sums(d.T, present.T, b.ids, b.mult, a.mult)
+    return {k: np.concatenate([first[k], second[k]]) for k in first}
+
+
+def pair_statistics(
+    df: DataFrame, keys: Sequence[str] = KEYS, idx: str = "seq_idx", seq: str = "seq",
+    mult: str | None = None, include_gaps: bool = False, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``pair_histogram`` and ``centre_sums`` from one comparison of every tile and one
+    aggregation: rows with ``centre`` hold ``idx, m`` and the sums, the others ``hd, n``.
+    ``statistics_histogram`` and ``statistics_centres`` take them apart."""
+
+    def per_tile(a: Block, b: Block, diag: bool) -> dict:
+        differ, _, indel = compare(a, b, include_gaps, False)
+        d = _distance(differ, indel)
+        hd, n, _ = _histogram(d, a, b, diag)
+        own = _moments(d, a, b, diag)
+        bins, rows = len(hd), len(own["idx"])
+        none = np.zeros(bins)
+        out = {
+            "centre": np.repeat([False, True], [bins, rows]),
+            "hd": np.concatenate([hd.astype(np.int32), np.zeros(rows, np.int32)]),
+            "n": np.concatenate([n, np.zeros(rows, np.int64)]),
+            "idx": np.concatenate([np.zeros(bins, np.int64), own["idx"]]),
+        }
+        return out | {c: np.concatenate([none, own[c]]) for c in ("m", *SUMS)}
+
+    parts = _run(df, keys, "centre boolean, hd int, n bigint, idx bigint, m double, " + ", ".join(f"{c} double" for c in SUMS),
+                 per_tile, idx, seq, mult, block_rows)
+    return parts.groupBy(*keys, "centre", "hd", "idx").agg(
+        F.sum("n").alias("n"), F.max("m").alias("m"), *[F.sum(c).alias(c) for c in SUMS]
+    )
+
+
+def statistics_histogram(stats: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return stats.filter(~F.col("centre")).select(*keys, "hd", "n")
+
+
+def statistics_centres(stats: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return stats.filter("centre").select(*keys, "idx", "m", *SUMS)
+
+
 def centre_sums(
     df: DataFrame, keys: Sequence[str] = KEYS, idx: str = "seq_idx", seq: str = "seq",
     mult: str | None = None, include_gaps: bool = False, block_rows: int = BLOCK_ROWS,
@@ -255,29 +360,11 @@ def centre_sums(
 
     def per_tile(a: Block, b: Block, diag: bool) -> dict:
         differ, _, indel = compare(a, b, include_gaps, False)
-        d = _distance(differ, indel).astype(np.float64)
-        present = np.ones_like(d)
-        if diag:
-            np.fill_diagonal(present, 0.0)
-
-        def sums(dist, there, ids, own, other):
-            m, m2 = other, other * other
-            return {
-                "idx": ids, "m": own,
-                "s0": there @ m, "s1": dist @ m, "s2": (dist * dist) @ m,
-                "q0": there @ m2, "q1": dist @ m2, "q2": (dist * dist) @ m2,
-            }
-
-        first = sums(d, present, a.ids, a.mult, b.mult)
-        if diag:
-            return first
-        second = sums(d.T, present.T, b.ids, b.mult, a.mult)
-        return {k: np.concatenate([first[k], second[k]]) for k in first}
+        return _moments(_distance(differ, indel), a, b, diag)
 
-    cols = ["s0", "s1", "s2", "q0", "q1", "q2"]
-    parts = _run(df, keys, "idx bigint, m double, " + ", ".join(f"{c} double" for c in cols),
+    parts = _run(df, keys, "idx bigint, m double, " + ", ".join(f"{c} double" for c in SUMS),
                  per_tile, idx, seq, mult, block_rows)
-    return parts.groupBy(*keys, "idx").agg(F.max("m").alias("m"), *[F.sum(c).alias(c) for c in cols])
+    return parts.groupBy(*keys, "idx").agg(F.max("m").alias("m"), *[F.sum(c).alias(c) for c in SUMS])
 
 
 def nearest_pairs(

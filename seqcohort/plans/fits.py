@@ -38,8 +38,10 @@ def poisson_fit(
     cons = compact.groupBy(*inner).agg(F.first("cons").alias("cons"))
     rows = compact.select(*inner, idx, seq, "mult")
     cons_hist = _pool(fo.consensus_histogram(pr.consensus_distance(rows, cons, inner, seq, include_gaps=include_gaps), inner), keys)
-    pair_hist = _pool(fo.distance_histogram(rows, inner, idx, seq, "mult", include_gaps), keys)
-    centres = pr.centre_sums(rows, inner, idx, seq, "mult", include_gaps)
+    stats = settle(pr.pair_statistics(rows, inner, idx, seq, "mult", include_gaps))
+    between = pr.statistics_histogram(stats, inner)
+    pair_hist = _pool(fo.distance_histogram(rows, inner, idx, seq, "mult", include_gaps, between), keys)
+    centres = pr.statistics_centres(stats, inner)
     if goodness:
         cons_hist, pair_hist = settle(cons_hist), settle(pair_hist)
     lengths = rows.groupBy(*inner).agg(F.max(F.length(seq)).alias("len"), F.sum("mult").alias("n"))
