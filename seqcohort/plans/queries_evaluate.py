@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqcohort.operators import evaluate as ev
+from seqcohort.operators import lasso as la
 from seqcohort.plans.catalog import query
 from seqcohort.plans.inputs import sql, table
 from seqcohort.plans.queries_cohort import RESULTS, results
@@ -173,6 +174,12 @@ def _(spark, d):
     return ev.lopo_lasso_predictions(scored(spark, d), "gold", ["size", "noise", "english", "toxic"])
 
 
+@query("lopo_lasso_logistic_predictions")
+def _(spark, d):
+    """The penalty is chosen by holding back persons in ten hashed groups."""
+    return la.lopo_lasso_logistic_predictions(scored(spark, d), "gold", ["size", "noise", "english", "toxic"], inner_folds=10)
+
+
 @query("lopo_logistic_predictions")
 def _(spark, d):
     return ev.lopo_logistic_predictions(scored(spark, d), "gold", ["size", "english"])
