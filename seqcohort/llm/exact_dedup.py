@@ -155,10 +155,11 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
 def same_bytes(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Digests of ``pairs`` (``digest, new_top, old_top``) whose two texts agree byte for byte."""
     sides = pairs.select("digest", F.explode(F.array("new_top", "old_top")).alias("id")).distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("string").alias("text"))
-    found = sides.join(source, F.col("id").eqNullSafe(F.col("own"))).select(
-        "digest", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("norm")
-    ).filter(F.sha2("norm", 256) == F.lower(F.hex("digest")))  # an id may be on several rows
+    norm = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
+    source = docs.select(F.col(id_col).cast("long").alias("own"), norm.alias("norm")).withColumn("of", F.unhex(F.sha2("norm", 256)))
+    # An id may be null or on several rows: with the digest in the key, a row meets its own
+    # digest only, however many rows share its id.
+    found = sides.join(source, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("own"))).select("digest", "norm")
     return found.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).filter(
         F.col("a") == F.col("b")
     ).select("digest")

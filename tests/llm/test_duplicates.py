@@ -119,3 +119,17 @@ def test_a_digest_alone_does_not_make_texts_equal(spark):
     pairs = spark.createDataFrame([(bytearray(hashlib.sha256(b"a").digest()), 1, 2), (bytearray(hashlib.sha256(b"b").digest()), 1, 3)],
                                   "digest binary, new_top long, old_top long")
     assert [bytes(r.digest) for r in exact.same_bytes(pairs.filter("old_top = 2"), docs, "doc_id", "text").collect()] == [hashlib.sha256(b"a").digest()]
+
+
+def test_rows_without_id_meet_their_own_digest_only(spark):
+    texts = [f"text {i % 40}" for i in range(120)] + ["TEXT 7", None, ""]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    for incoming in (F.expr("id IS NULL"), F.expr("id IS NOT NULL")):
+        got = exact.exact_dedup(docs, incoming, bucket_digests=20).collect()
+        sizes = sorted(r.group_size for r in got)
+        assert sizes == sorted([2, 2] + [3] * 117 + [4] * 4)
+        assert {r.keep_id for r in got} == {None}
+    names = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("n")).distinct().select(
+        F.unhex(F.sha2("n", 256)).alias("digest"), F.lit(None).cast("long").alias("new_top"), F.lit(None).cast("long").alias("old_top"))
+    sure = exact.same_bytes(names, docs, "doc_id", "text").collect()
+    assert len(sure) == 41 and len({bytes(r.digest) for r in sure}) == 41
