@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqcohort.operators import mismatch as mm
 from seqcohort.operators import pairs as pr
 from seqcohort.operators import sites as st
 from seqcohort.session import checksum, release, settle
@@ -141,14 +142,13 @@ def distance_dedup(df: DataFrame, threshold: int = 0, keys: Sequence[str] = KEYS
     Sequences that read the same (upper and lower case, ``?`` and ``-``) always go to the
     first of them, so the distance work runs on distinct ones only and the others are mapped
     through afterwards. At threshold 0 with gaps counted, two distinct sequences can only be
-    equal through an ambiguity code, so only those with one are compared with the others;
-    what is decided for a sequence never depends on unrelated rows.
+    equal through an ambiguity code. Pairs come from the index of ``mismatch``, so small
+    thresholds compare few of them; what is decided for a sequence never depends on unrelated rows.
     """
     keys = list(keys)
     df = df.withColumn(seq, F.translate(F.lower(seq), "?", "-"))
     unique = settle(df.groupBy(*keys, seq).agg(F.min(idx).alias(idx)))
-    focus = F.col(seq).rlike("[^acgt-]") if threshold == 0 and include_gaps else None
-    edges = pr.near_pairs(unique, threshold, keys, idx, seq, include_gaps, focus=focus)
+    edges = mm.near_pairs(unique, threshold, keys, idx, seq, include_gaps, distinct=True)
     removed = settle(greedy_absorb(edges, keys))
     copies = _copies(df, keys, idx, seq)
     through = copies.join(
@@ -158,7 +158,7 @@ def distance_dedup(df: DataFrame, threshold: int = 0, keys: Sequence[str] = KEYS
 
 
 def _copies(df: DataFrame, keys: Sequence[str], idx: str, seq: str) -> DataFrame:
-    digest = F.sha2(seq, 256).alias("_h")
+    digest = F.unhex(F.sha2(seq, 256)).alias("_h")
     first = df.groupBy(*keys, digest).agg(F.min(idx).alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     return (
         df.select(*keys, digest, F.col(idx).alias("idx")).join(first, [*keys, "_h"])
