@@ -7,8 +7,8 @@ flattest mixture that is not flatter than a target entropy and repeats no source
 aggregate over the per-source totals, which returns 255 rows whatever the number of sources.
 
 A source's quota (weight x budget) is realised as block permutations. Documents fall into
-blocks of about ``block_tokens`` tokens by a hash and are ordered by it inside; each pass over
-a source takes its blocks in an order of its own. Whole passes come first, then the blocks and
+blocks of about ``block_tokens`` tokens by a hash of id, size, mark and copy number, so that rows
+of one id, null included, spread like others, and are ordered by it inside; each pass over a source takes its blocks in an order of its own. Whole passes come first, then the blocks and
 documents of one more pass for as long as the quota lasts, so a budget is never exceeded and
 is missed by less than one block per source. ``progress`` (how much of the source's quota lies
 before the block) orders the mixture: every prefix is close to the weights.
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from seqcohort.session import settle
 
 LEVELS, PASSES = 8, 4
+COPIES = 4096
 NO_SOURCE = "(none)"
 TOKEN = r"[^ \t\n\x0B\f\r]+"
 
@@ -78,6 +79,17 @@ def first_bits(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``, which counts rows that are equal from 1. They are counted with
+    map-side combine and written out again, in two steps so that no array is long."""
+    equal = rows.groupBy("id", "mark", "source", "n_tokens").agg(F.count(F.lit(1)).alias("times"))
+    runs = equal.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))).alias("run"))
+    step = F.least(F.lit(COPIES).cast("long"), F.col("times") - F.col("run") * COPIES)
+    return runs.select(
+        "id", "mark", "source", "n_tokens", "run", F.explode(F.sequence(F.lit(1).cast("long"), step)).alias("copy")
+    ).withColumn("copy", F.col("copy") + F.col("run") * COPIES).drop("run")
+
+
 def mix(rows: DataFrame, entropy_share: float = 0.95, max_repeats: float = 2.0, budget_share: float = 1.0,
         block_tokens: int = 50_000, seed: str = "mix") -> DataFrame:
     """``id, mark, source, pass, block, slot, n_tokens, weight, progress``: every occurrence of a
@@ -100,8 +112,8 @@ def mix(rows: DataFrame, entropy_share: float = 0.95, max_repeats: float = 2.0,
     ).select("*", (F.col("quota") - F.col("passes") * F.col("tokens")).alias("rest"))
     plan = settle(plan)
     # One row per source on the right; the adaptive join splits a source of very many rows.
-    key = hashed(seed, F.col("source"), F.col("id"))
-    dealt = rows.join(plan.select("source", "blocks"), "source").select(
+    key = hashed(seed, F.col("source"), F.col("id"), F.col("n_tokens"), F.col("mark"), F.col("copy"))
+    dealt = numbered_copies(rows).join(plan.select("source", "blocks"), "source").select(
         "id", "mark", "source", "n_tokens", key.alias("key"), F.pmod(first_bits(key), F.col("blocks")).alias("block")
     )
     inside = Window.partitionBy("source", "block").orderBy("key", "id", "n_tokens", "mark").rowsBetween(Window.unboundedPreceding, 0)
@@ -155,7 +167,8 @@ w AS (SELECT source, tokens, round(raised / (SELECT sum(raised) FROM x), 9) AS w
 q AS (SELECT *, CAST(floor(weight * ((SELECT sum(tokens)::DOUBLE FROM t) * {budget_share})) AS BIGINT) AS quota FROM w),
 plan AS (SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS passes,
          quota - CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END * tokens AS rest FROM q),
-keyed AS (SELECT id, source, n_tokens, md5('{seed}|' || source || '|' || coalesce(CAST(id AS VARCHAR), 'null')) AS key, blocks FROM r JOIN plan USING (source)),
+keyed AS (SELECT id, source, n_tokens, md5('{seed}|' || source || '|' || coalesce(CAST(id AS VARCHAR), 'null') || '|' || n_tokens || '|null|' ||
+    row_number() OVER (PARTITION BY id, source, n_tokens)) AS key, blocks FROM r JOIN plan USING (source)),
 dealt AS (SELECT id, source, n_tokens, block, count(*) OVER o AS slot, sum(n_tokens) OVER o AS through FROM (
     SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % blocks AS block FROM keyed)
   WINDOW o AS (PARTITION BY source, block ORDER BY key, id, n_tokens ROWS UNBOUNDED PRECEDING)),

@@ -52,6 +52,18 @@ def test_mixture_cases(spark):
     assert mixing.mix(silent).count() == docs.count()  # nothing to weigh: one pass
 
 
+def test_rows_of_one_id_spread_over_blocks(spark):
+    """Rows without an id, rows of one id and equal rows fill blocks like other rows."""
+    rows = [(None, 7, "a", 1 + i % 3) for i in range(3000)] + [(5, None, "b", 2)] * 9000 + [(i, i, "c", 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, mark long, source string, n_tokens long")
+    assert by_row(mixing.numbered_copies(df).drop("copy").select("id", "mark", "source", "n_tokens").collect()) == by_row(rows)
+    assert mixing.numbered_copies(df).distinct().count() == len(rows)
+    out = mixing.mix(df, max_repeats=50.0, block_tokens=300).filter("pass = 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
+    for source, own in (("a", 6000), ("b", 18000), ("c", 6000)):
+        held = [r.n for r in out.filter(F.col("source") == source).collect()]
+        assert len(held) > own / 500 and max(held) < 600
+
+
 def brute_pack(sizes, source, cluster, capacity, per_source):
     bins = []
     placed = []
