@@ -67,3 +67,15 @@ def test_one_comparison_equals_separate_ones(seqs, gaps):
     assert sorted(map(tuple, pr.statistics_histogram(stats).collect())) == sorted(map(tuple, plain.collect()))
     sums = pr.centre_sums(df, mult="m", include_gaps=gaps, block_rows=7)
     assert sorted(map(tuple, pr.statistics_centres(stats).collect())) == sorted(map(tuple, sums.collect()))
+
+
+def test_large_groups_travel_a_bounded_number_of_times(seqs):
+    rows = random_rows(60, 30, 3, changes=9)
+    df = seqs(*rows)
+    tiles = pr._tiles(df, ["sample_id"], "seq_idx", "seq", None, 1)
+    most = pr.SPLITS * (pr.SPLITS + 1) // 2
+    got = tiles.agg(F.count(F.lit(1)), F.sum(F.size("a_ids") + F.coalesce(F.size("b_ids"), F.lit(0)))).first()
+    assert got[0] <= most and got[1] <= 60 * pr.SPLITS
+    hist = {r.hd: r.n_pairs for r in pr.pair_histogram(df, block_rows=1).collect()}
+    near = [hamming(a, b) for a, b in itertools.combinations(rows, 2)]
+    assert hist == {d: near.count(d) for d in near}
