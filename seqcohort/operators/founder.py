@@ -270,16 +270,21 @@ def _log_sum_terms(dim: int, rate: float) -> np.ndarray:
     one sequence, for all bin pairs at once."""
     k = np.arange(dim)
     lf = tails.lgamma(k + 1.0)
-    hi, lo = np.maximum.outer(k, k), np.minimum.outer(k, k)
-    total = np.zeros((dim, dim))
     loglam = np.log(rate)
     pois = k * loglam - lf
-    for j in range(dim):
-        ok = j <= lo
-        r = np.where(ok, lo - j, 0)
-        upper = lf[hi] - lf[r] - lf[hi - r] + pois[hi] + pois[j]
-        lower = lf[lo] - lf[r] - lf[lo - r] + pois[lo] + pois[np.where(ok, hi - lo + j, 0)]
-        total += np.where(ok, np.exp(upper) + np.exp(lower), 0.0)
+    # The sums are symmetric, and step j concerns bins from j on: pairs of bins in order of the lower.
+    lo, above = np.nonzero(np.tri(dim, dtype=bool)[::-1])
+    hi = lo + above
+    start = np.searchsorted(lo, k)
+    sums = np.zeros(len(lo))
+    for j, s in enumerate(start.tolist()):
+        h, l = hi[s:], lo[s:]
+        rest, across = lf[l - j], h - l + j
+        upper = lf[h] - rest - lf[across] + pois[h] + pois[j]
+        lower = lf[l] - rest - lf[j] + pois[l] + pois[across]
+        sums[s:] += np.exp(upper) + np.exp(lower)
+    total = np.empty((dim, dim))
+    total[hi, lo] = total[lo, hi] = sums
     return total
 
 

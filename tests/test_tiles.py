@@ -1,11 +1,14 @@
 """What leaves a tile: spanning links in place of pairs, several results of one comparison."""
 
 import itertools
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqcohort.operators import dedup as dd
+from seqcohort.operators import founder as fo
 from seqcohort.operators import pairs as pr
 from seqcohort.operators import sites as st
 from tests.test_small import hamming, random_rows
@@ -79,3 +82,14 @@ def test_large_groups_travel_a_bounded_number_of_times(seqs):
     hist = {r.hd: r.n_pairs for r in pr.pair_histogram(df, block_rows=1).collect()}
     near = [hamming(a, b) for a, b in itertools.combinations(rows, 2)]
     assert hist == {d: near.count(d) for d in near}
+
+
+def test_covariance_sums_take_each_pair_of_bins_once(monkeypatch):
+    dim, rate, seen, exp = 20, 3.7, [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x: seen.append(np.size(x)) or exp(x))
+    got = fo._log_sum_terms(dim, rate)
+    assert sum(seen) < dim**3 / 2
+    for a, b in itertools.product(range(dim), repeat=2):
+        lo, hi = min(a, b), max(a, b)
+        want = sum(2 * rate ** (hi + j) / (math.factorial(j) * math.factorial(lo - j) * math.factorial(hi - lo + j)) for j in range(lo + 1))
+        assert math.isclose(got[a, b], want, rel_tol=1e-9)
