@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqcohort.functions import tails
 from seqcohort.operators import dedup as dd
 from seqcohort.operators import founder as fo
 from seqcohort.operators import pairs as pr
@@ -93,3 +94,14 @@ def test_covariance_sums_take_each_pair_of_bins_once(monkeypatch):
         lo, hi = min(a, b), max(a, b)
         want = sum(2 * rate ** (hi + j) / (math.factorial(j) * math.factorial(lo - j) * math.factorial(hi - lo + j)) for j in range(lo + 1))
         assert math.isclose(got[a, b], want, rel_tol=1e-9)
+
+
+def test_whole_shapes_share_one_sum(monkeypatch):
+    shapes, counts, u = np.arange(1, 41), np.linspace(1, 900, 40), np.linspace(1e-4, 1, 500, endpoint=False)
+    got = tails.largest_gamma(shapes, counts, u)
+    # by the incomplete gamma function of every shape
+    tail = [np.minimum(tails._gamma_upper_array(float(a), got), 1 - 1e-16) for a in shapes]
+    log_cdf = sum(n * np.log1p(-q) for n, q in zip(counts, tail))
+    assert np.allclose(log_cdf, np.log(u), atol=1e-3)
+    monkeypatch.setattr(tails, "_gamma_upper_array", None)
+    assert np.array_equal(tails.largest_gamma(shapes, counts, u), got)
