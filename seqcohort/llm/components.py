@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqcohort.functions.labels import labels_of  # noqa: F401
 from seqcohort.session import checksum, release, settle
 
 
@@ -45,18 +45,3 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
-
-
-def labels_of(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """Component labels (smallest index) of ``n`` local nodes after adding links ``i - j``."""
-    label = np.arange(n) if label is None else label
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        while not np.array_equal(jump := new[new], new):
-            new = jump
-        if (new[i] == new[j]).all():
-            return new
-        label = new
