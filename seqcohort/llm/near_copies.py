@@ -10,10 +10,13 @@ MinHash band: a text that is similar (at s) to another misses all of its bands w
 (1 - s ** DEPTH) ** BANDS, 5e-8 at 0.8 and less above. Among these the search is exact. Shingles are
 ordered by rarity, and two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 of
 each; only these are indexed, without shingles of one text. A shared one must leave enough shingles
-behind it in both, and sizes must fit. Every remaining pair is decided on the whole sets; pairs
+behind it in both, sizes must fit, and the parities of the shingles' counts in ``64 * WORDS`` classes
+may differ in no more classes than two similar sets have shingles apart: unlike texts that share
+rare shingles never become pairs. Every remaining pair is decided on the whole sets; pairs
 that are connected already are not looked at again. For a few rounds all texts of a key meet a
-few of them first, so that a large group of copies is tied together before its pairs would be listed;
-keys whose texts are all connected leave the index.
+few of them first, and each text takes two of those it fits on to the whole sets, so that a large
+group of copies is tied together before its pairs would be listed; keys whose texts are all
+connected leave the index.
 
 Texts and sets are told apart by 128 bits or more. Null texts count as empty; texts without words
 are one another's near duplicates and nobody else's; texts of fewer words than a shingle have one
@@ -40,7 +43,9 @@ from seqcohort.session import release, settle
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, DEPTH = 32, 4
 # Above so many pairs left per row of the index, and at most so often, all texts of a key meet so many of them first.
-LARGE, ROUNDS, CENTRES, TILE = 32, 3, 4, 512
+LARGE, ROUNDS, CENTRES, TILE = 1, 4, 4, 512
+WORDS = 8
+PARITY = [f"p{i}" for i in range(WORDS)]
 MIX = np.random.default_rng(2025).integers(0, 2**64, (2, BANDS * DEPTH, 1), dtype=np.uint64)
 MIX[0] |= np.uint64(1)
 
@@ -87,6 +92,13 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, DEPTH))]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``WORDS`` longs: one bit per class of shingles, set if the class holds an odd number. Two sets
+    differ in at least as many shingles as these bits."""
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def longs(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -137,7 +149,7 @@ def shingle_sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame)
 
 def prefix_index(sets: DataFrame, similarity: float) -> DataFrame:
     """``key, nid, n, at``: the rarest shingles of each set, by which similar sets meet, and their
-    places in the order of rarity; keys of one set are left out."""
+    places in the order of rarity, with the set's ``parities``; keys of one set are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +165,18 @@ def prefix_index(sets: DataFrame, similarity: float) -> DataFrame:
     # Shingles of one text come first in the order and need no place in the index.
     at = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "key"))
     first = shared.select("key", "nid", "n", at.alias("at")).filter(F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
-    return keys_apart(first, "nid")
+    return keys_apart(first.join(parity_rows(sets), "nid"), "nid")
+
+
+def parity_rows(sets: DataFrame) -> DataFrame:
+    """``nid`` and ``parities`` of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.array([parities(np.frombuffer(raw.as_buffer(), np.uint64)) for raw in batch.column(1)], np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, i]) for i in range(WORDS))], ["nid", *PARITY])
+
+    return sets.select("nid", "shingles").mapInArrow(run, ", ".join(["nid long", *(f"{p} long" for p in PARITY)]))
 
 
 def keys_apart(index: DataFrame, label: str) -> DataFrame:
@@ -214,9 +237,11 @@ def near_groups(docs: DataFrame, mark: Column, id_col: str = "doc_id", text_col:
 
     # So many shingles must be shared, and a shared one leaves so many behind it.
     need = similarity / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - 1e-9
+    apart = sum((F.bit_count(F.col(f"l.{p}").bitwiseXOR(F.col(f"r.{p}"))) for p in PARITY[1:]),
+                F.bit_count(F.col(f"l.{PARITY[0]}").bitwiseXOR(F.col(f"r.{PARITY[0]}"))))
     fits = (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9) & (
         1 + F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= need
-    )
+    ) & (apart <= F.col("l.n") + F.col("r.n") - 2 * need)
     index, left = prefix_index(sets, similarity).withColumn("root", F.col("nid")), 0
     for turn in range(ROUNDS + 1):
         shares = index.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -224,10 +249,11 @@ def near_groups(docs: DataFrame, mark: Column, id_col: str = "doc_id", text_col:
         rows_left, left = per_key.agg(F.sum("rows"), F.sum("pairs")).first()
         if turn == ROUNDS or not left or left <= LARGE * rows_left:
             break
-        some = [F.min_by(F.struct("nid", "root", "n", "at"), F.xxhash64("nid", F.lit(turn * CENTRES + k))) for k in range(CENTRES)]
+        some = [F.min_by(F.struct("nid", "root", "n", "at", *PARITY), F.xxhash64("nid", F.lit(turn * CENTRES + k))) for k in range(CENTRES)]
         centre = index.groupBy("key").agg(F.array_distinct(F.array(*some)).alias("r")).select("key", F.explode("r").alias("r"))
         star = index.alias("l").join(centre, "key").filter((F.col("l.root") != F.col("r.root")) & fits)
-        pairs = settle(ordered(star.select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"))).join(tested, ["a", "b"], "left_anti"))
+        two = star.groupBy(F.col("l.nid").alias("a")).agg(F.array(F.min("r.nid"), F.max("r.nid")).alias("b"))
+        pairs = settle(ordered(two.select("a", F.explode("b").alias("b"))).join(tested, ["a", "b"], "left_anti"))
         tested, found = tested.unionAll(pairs), found.unionAll(settle(similar(pairs, sets, similarity)))
         release(roots)
         roots = settle(components(found))

@@ -4,6 +4,9 @@ import itertools
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from seqcohort.llm import near_copies, simhash
 from tests.llm import cases
@@ -92,3 +95,35 @@ def test_bands_miss_hardly_any_similar_pair():
             hits.append(len(set(near_copies.band_keys(x)) & set(near_copies.band_keys(y))))
     assert met == 300 and min(hits) > 0
     assert abs(sum(hits) / met / near_copies.BANDS - 0.8 ** near_copies.DEPTH) < 0.06
+
+
+def test_pairs_of_a_group_grow_with_its_texts(spark, monkeypatch):
+    """Before, every two texts of a group became a pair as long as keys were small."""
+    rng, n, seen = np.random.default_rng(3), 80, []
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(n):
+        mine = list(words)
+        for at in rng.integers(0, 400, 5):
+            mine[at] = f"x{i}y{at}"
+        texts.append(" ".join(mine))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = near_copies.similar
+
+    def counted(pairs, sets, similarity):
+        seen.append(pairs.count())
+        return whole(pairs, sets, similarity)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    roots = near_copies.near_groups(docs, F.lit(0), radius=0).select("root").distinct().count()
+    assert roots == 1
+    assert sum(seen) <= 12 * n
+
+
+def test_parities_bound_the_shingles_apart():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 2**64, rng.integers(1, 900), dtype=np.uint64)) for _ in range(2))
+        b = np.union1d(b, a[: rng.integers(0, len(a) + 1)])
+        differ = int(np.bitwise_count(near_copies.parities(a) ^ near_copies.parities(b)).sum())
+        assert differ <= len(np.setxor1d(a, b))
