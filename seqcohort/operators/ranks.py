@@ -19,22 +19,30 @@ RANGE_ROWS = 200_000
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per key and distinct ``order`` value: the summed ``values``, their totals over
-    smaller order values (``_before``) and up to this one (``_through``). The number of
-    ranges follows from the number of distinct values, so that none grows with the table."""
+    smaller order values (``_before``) and up to this one (``_through``). Only keys of more than
+    ``range_rows`` distinct values are cut into ranges, so that many small keys cost no more
+    than their rows and no range grows with the table. Rows without a key are left out."""
     keys = list(keys) or ["_all"]
     if keys == ["_all"]:
         df = df.withColumn("_all", F.lit(1))
-    distinct = settle(df.groupBy(*keys, order).agg(*[F.sum(v).alias(v) for v in values]))
-    ranges = max(8, -(-distinct.count() // range_rows))
+    distinct = settle(df.dropna(subset=keys).groupBy(*keys, order).agg(*[F.sum(v).alias(v) for v in values]))
+    large = settle(distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > range_rows))
+    top = large.agg(F.max("_n")).first()[0]
+    if top is None:
+        through = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return distinct.select("*", *[F.sum(v).over(through).alias(f"{v}_through") for v in values]).select(
+            *[k for k in keys if k != "_all"], order, *values, *[f"{v}_through" for v in values],
+            *[(F.col(f"{v}_through") - F.col(v)).alias(f"{v}_before") for v in values],
+        )
+    ranges = max(8, -(-top // range_rows))
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = settle(
-        distinct.groupBy(*keys).agg(
+        distinct.join(large, keys, "left_semi").groupBy(*keys).agg(
             F.array_distinct(F.percentile_approx(order, probs, F.lit(10 * ranges))).alias("_cuts")
         )
     )
-    ranged = distinct.join(cuts, keys).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ).drop("_cuts")
+    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.col(order)))
+    ranged = distinct.join(cuts, keys, "left").withColumn("_range", below).drop("_cuts")
     inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])

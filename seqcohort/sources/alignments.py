@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqcohort.operators.ranks import running_totals
+from seqcohort.session import settle
 
 
 def read_records(spark: SparkSession, paths: Sequence[str] | str, separator: str = "\n") -> DataFrame:
@@ -70,9 +71,11 @@ def read_file_list(spark: SparkSession, list_path: str, **options) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    lines = read_records(spark, paths).filter("trim(value) <> ''")
+    """Lines with their number. The files are opened twice here, however often the lines are used:
+    many small ones cost more to open than to read."""
+    lines = settle(read_records(spark, paths).filter("trim(value) <> ''"))
     numbers = running_totals(lines.withColumn("_one", F.lit(1).cast("bigint")), ["path"], "at", ["_one"])
-    return lines.join(numbers.select("path", "at", F.col("_one_through").alias("line")), ["path", "at"])
+    return settle(lines.join(numbers.select("path", "at", F.col("_one_through").alias("line")), ["path", "at"]))
 
 
 def _assemble(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
