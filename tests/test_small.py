@@ -429,3 +429,45 @@ def test_model_fits_say_whether_they_converged(spark):
     whole = {r.ptid: r.beta for r in ev.logistic_coefficients(df, "g", ["x"]).collect()}
     assert all(r.beta == pytest.approx(whole[r.ptid], rel=1e-9) for r in small)
     assert {r.converged for r in ev.lasso_coefficients(ev.fold_statistics(df, "g", ["x", "z"]), (0, 1)).collect()} == {True}
+
+
+def test_running_totals_cut_large_keys_only(spark, monkeypatch):
+    """Ranges of every key grew with the whole table, so that many small keys cost a square."""
+    rows = spark.createDataFrame([(k, v, 1) for k in range(20) for v in range(6)] + [(None, 1, 1)], "k bigint, v bigint, w bigint")
+    want = {(k, v, 1, v + 1, v) for k in range(20) for v in range(6)}
+    with monkeypatch.context() as m:
+        m.setattr(F, "percentile_approx", lambda *a: (_ for _ in ()).throw(AssertionError("small keys were cut")))
+        assert {tuple(r) for r in rk.running_totals(rows, ["k"], "v", ["w"], 10).collect()} == want
+    more = rows.unionByName(spark.range(50).select(F.lit(99).cast("bigint").alias("k"), F.col("id").alias("v"), F.lit(1).cast("bigint").alias("w")))
+    got = {tuple(r) for r in rk.running_totals(more, ["k"], "v", ["w"], 10).collect()}
+    assert got == want | {(99, v, 1, v + 1, v) for v in range(50)}
+
+
+def test_site_counts_without_a_row_per_site(spark, monkeypatch):
+    rows = [("a", "x", s) for s in ("acgt", "ac-t", "", "é€\U0001d11ea", None, "ACGTACGT")] + [(None, "y", "gg"), ("b", None, "t")]
+    df = spark.createDataFrame(rows, "k string, j string, seq string")
+    want = {}
+    for k, j, s in rows:
+        for i, c in enumerate([""] if s == "" else s or ""):
+            want[k, j, i + 1, c] = want.get((k, j, i + 1, c), 0) + 1
+    monkeypatch.setattr(st, "site_rows", None)
+    for held in (1, 7, 1 << 22):
+        monkeypatch.setattr(st, "COUNT_CHARS", held)
+        assert {tuple(r)[:4]: r.n for r in st.base_counts(df, ["k", "j"]).collect()} == want
+
+
+def test_hypermutation_marks_equal_the_patterns():
+    import re
+
+    assert not hasattr(fo, "_with_contexts")  # which held arrays of sites
+    rng = random.Random(5)
+    for _ in range(300):
+        seq = "".join(rng.choice("aaggccttnr-?") for _ in range(20))
+        ref = "".join(rng.choice("gga") for _ in range(rng.choice([12, 20, 26])))
+        mut, ctl = (re.sub(f".(?={p})", "*", seq) for p in ("-*[ag]-*[agt]", "-*(?:[ct]-*[acgt]|[ag]-*c)"))
+        want = "".join(
+            " " if r != "g" or "*" not in (m, c) else ("m" if m == "*" else "c").upper() if b == "a" else ("m" if m == "*" else "c")
+            for b, m, c, r in zip(seq, mut, ctl, ref.ljust(20))
+        )
+        got = fo.site_marks(seq, 20, np.array([[c == "g" for c in ref[:20].ljust(20)]]))
+        assert got.tobytes().decode() == want
