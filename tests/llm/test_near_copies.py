@@ -104,7 +104,7 @@ def test_pairs_of_a_group_grow_with_its_texts(spark, monkeypatch):
     texts = []
     for i in range(n):
         mine = list(words)
-        for at in rng.integers(0, 400, 5):
+        for at in rng.integers(0, 400, 3):
             mine[at] = f"x{i}y{at}"
         texts.append(" ".join(mine))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -125,5 +125,5 @@ def test_parities_bound_the_shingles_apart():
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 2**64, rng.integers(1, 900), dtype=np.uint64)) for _ in range(2))
         b = np.union1d(b, a[: rng.integers(0, len(a) + 1)])
-        differ = int(np.bitwise_count(near_copies.parities(a) ^ near_copies.parities(b)).sum())
+        differ = int(np.bitwise_count((near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b))
