@@ -151,6 +151,31 @@ def test_dedup_to_max_equals_sequential(seqs):
     assert got == {i + 1: r + 1 for i, r in removed.items()}
 
 
+@pytest.mark.parametrize("block", [4096, 1])
+def test_dedup_to_max_takes_every_threshold_of_a_sample(seqs, monkeypatch, block):
+    """Keepers go with what they absorbed at the next threshold, before any farther pair merges."""
+    monkeypatch.setattr(dd, "BLOCK_ROWS", block)
+    rows = ["a" * 24, "a" * 23 + "c", "c" * 24, "c" * 23 + "a", "g" * 24, "g" * 20 + "tttt"]
+    dist = [[hamming(x, y, True) for y in rows] for x in rows]
+    want = greedy(6, dist, 2, greedy(6, dist, 1, {}))
+    assert want == {1: 0, 3: 2, 0: 0, 2: 2}
+    assert {r.idx: r.rep for r in dd.dedup_to_max(seqs(*rows), 3).collect()} == {i + 1: r + 1 for i, r in want.items()}
+
+
+def test_reduced_blocks_equal_sequential():
+    for seed in range(60):
+        rows = list(dict.fromkeys(random_rows(4 + seed % 30, 16, seed, changes=2 + seed % 5)))
+        dist = [[hamming(x, y, True) for y in rows] for x in rows]
+        removed, k, n_max = {}, 0, 2 + seed % 9
+        while k == 0 or len(rows) - len(removed) > n_max:
+            step = greedy(len(rows), dist, k, removed)
+            if len(step) == len(rows) or k > 16:
+                break
+            removed, k = step, k + 1
+        got = dd.reduced_block(rows, n_max, True)
+        assert {i: r for i, r in enumerate(got.tolist()) if r >= 0} == removed, seed
+
+
 def test_components_and_clusters(spark, seqs):
     edges = spark.createDataFrame([("s", i, i + 1) for i in range(1, 30) if i != 17] + [("s", 40, 41)], "sample_id string, a bigint, b bigint")
     vertices = spark.createDataFrame([("s", i) for i in range(1, 43)], "sample_id string, idx bigint")
