@@ -105,3 +105,38 @@ def test_whole_shapes_share_one_sum(monkeypatch):
     assert np.allclose(log_cdf, np.log(u), atol=1e-3)
     monkeypatch.setattr(tails, "_gamma_upper_array", None)
     assert np.array_equal(tails.largest_gamma(shapes, counts, u), got)
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_sums_of_large_groups_come_from_sites(seqs, monkeypatch, gaps):
+    big, small = random_rows(60, 30, 8, changes=20), random_rows(9, 21, 3, changes=9)
+    df = seqs(*big, "-" * 30).unionByName(seqs(*small, sample="t")).withColumn("m", F.col("seq_idx") % 3 * (F.col("seq_idx") % 2) + 1)
+    want = [r.asDict() for r in pr.centre_sums(df, mult="m", include_gaps=gaps).orderBy("sample_id", "idx").collect()]
+    bins = sorted(map(tuple, pr.pair_histogram(df, mult="m", include_gaps=gaps).select("sample_id", "hd", "n").collect()))
+    monkeypatch.setattr(pr, "MOMENT_ROWS", 20)
+    monkeypatch.setattr(pr, "MOMENT_BLOCK", 25)
+    rest, rows, large = pr._by_size(df, ["sample_id"], "seq", "m")
+    assert rest.count() == 9 and rows.count() == 61 and large.count() == 1
+    got = pr.centre_sums(df, mult="m", include_gaps=gaps).orderBy("sample_id", "idx")
+    assert [r.asDict() for r in got.collect()] == want
+    stats = pr.pair_statistics(df, mult="m", include_gaps=gaps)
+    assert [r.asDict() for r in pr.statistics_centres(stats).orderBy("sample_id", "idx").collect()] == want
+    assert sorted(map(tuple, pr.statistics_histogram(stats).collect())) == bins
+
+
+@pytest.mark.parametrize("diag", [False, True])
+@pytest.mark.parametrize("top", [60, 1 << 23])
+def test_histogram_of_a_tile(diag, top):
+    rng = np.random.default_rng(5)
+    a, b = (pr.Block(np.ones((n, 3), np.uint8), np.arange(n), rng.integers(1, 4, n)) for n in (40, 31))
+    b = a if diag else b
+    code = rng.integers(0, 9, (a.n, b.n)) * (top // 8)
+    if diag:
+        code = np.triu(code) + np.triu(code, 1).T
+    want = {}
+    for i in range(a.n):
+        for j in range(i + 1 if diag else 0, b.n):
+            n, count = want.get(code[i, j], (0, 0))
+            want[code[i, j]] = n + a.mult[i] * b.mult[j], count + 1
+    value, n, count = pr._histogram(code, a, b, diag)
+    assert {v: (x, y) for v, x, y in zip(value, n, count)} == want
