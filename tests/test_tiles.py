@@ -12,6 +12,7 @@ from seqcohort.operators import dedup as dd
 from seqcohort.operators import founder as fo
 from seqcohort.operators import pairs as pr
 from seqcohort.operators import sites as st
+from seqcohort.plans import inputs
 from tests.test_small import hamming, random_rows
 
 
@@ -140,3 +141,17 @@ def test_histogram_of_a_tile(diag, top):
             want[code[i, j]] = n + a.mult[i] * b.mult[j], count + 1
     value, n, count = pr._histogram(code, a, b, diag)
     assert {v: (x, y) for v, x, y in zip(value, n, count)} == want
+
+
+def test_alignment_takes_letters_of_any_text(spark, tmp_path):
+    texts = ["Ab, xyZ.\n q\u00e9\u4e2d\U0001f600\x00-'j" * 9, "", None, "12 ;", "k" * 121]
+    rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.seq_name, r.seq) for r in inputs.alignment(spark, str(tmp_path)).collect()}
+    want, place = set(), dict(zip(inputs.LETTERS, inputs.CODES))
+    for i, text in enumerate(texts):
+        codes = "".join(place.get(c, "") for c in text or "")
+        want |= {(f"d{i}.{k // 60 + 1}", codes[k:k + 60].ljust(60, "-")) for k in range(0, len(codes), 60)}
+    assert got == want
+    plan = inputs.alignment(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
