@@ -43,6 +43,32 @@ def test_links_connect_what_pairs_connect(seqs, gaps, cut):
             assert len(got) == 50 - len(set(classes(50, near)))
 
 
+@pytest.mark.parametrize("gaps", [False, True])
+def test_without_a_distance_every_pair_is_listed(seqs, gaps):
+    rows = random_rows(40, 70, 3, changes=60) + ["a" * 70, "c" * 70, "-" * 70]
+    want = {(i + 1, j + 1): hamming(rows[i], rows[j]) for i, j in itertools.combinations(range(43), 2)}
+    df = seqs(*rows).unionByName(seqs("acgt", "tgca", sample="t"))
+    for block_rows in (9, 1000):
+        got = [tuple(r)[:4] for r in pr.near_pairs(df, include_gaps=gaps, block_rows=block_rows).collect()]
+        assert sorted(got) == sorted([("s", a, b, d) for (a, b), d in want.items()] + [("t", 1, 2, 4)])
+
+
+def test_pairwise_hamming_lists_pairs_at_any_distance(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = [(1, "a" * 60 + "b" * 60 + "c" * 60), (2, "d" * 60 + "i" * 30), (3, None), (4, "a" * 60)]
+    docs = [(i, "web", "en", t) for i, t in texts] + [(5, "web", "de", "a" * 60)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["pairwise_hamming"](spark, str(tmp_path))
+    # letters a to d and i read a, c, g, t, a
+    assert {(r.sample_id, r.a, r.b): (r.hd, r.compared) for r in got.collect()} == {
+        ("web_en", a, b): hd for a, b, hd in (
+            (100001, 100002, (60, 60)), (100001, 100003, (60, 60)), (100001, 200001, (60, 60)), (100001, 200002, (0, 30)),
+            (100002, 100003, (60, 60)), (100002, 200001, (60, 60)), (100002, 200002, (30, 30)),
+            (100003, 200001, (60, 60)), (100003, 200002, (30, 30)), (200001, 200002, (30, 30)))}
+    assert "hd <=" not in entry.oracle_sql()["pairwise_hamming"]
+
+
 def test_links_of_small_groups(seqs):
     assert pr.near_links(seqs("acgt"), 4).count() == 0
     assert pr.near_links(seqs("acgt").limit(0), 4).count() == 0
