@@ -134,6 +134,37 @@ def test_whole_shapes_share_one_sum(monkeypatch):
     assert np.array_equal(tails.largest_gamma(shapes, counts, u), got)
 
 
+def test_samples_are_fitted_in_batches(spark):
+    rng = np.random.default_rng(7)
+    cons, pairs, want = [], [], {}
+    for i in range(40):
+        d = rng.poisson(rng.uniform(0.3, 6), 12)
+        one, two = np.bincount(d), np.bincount([abs(a - b) for a, b in itertools.combinations(d, 2)])
+        want[f"s{i}"] = fo.chi_square(one.astype(float), two.astype(float))
+        cons += [(f"s{i}", k, int(n)) for k, n in enumerate(one) if n]
+        pairs += [(f"s{i}", k, int(n)) for k, n in enumerate(two) if n]
+    schema = "sample_id string, hd int, n bigint"
+    cons, pairs = (spark.createDataFrame(rows, schema) for rows in (cons + [("none", 1, 3), (None, 2, 5)], pairs + [(None, 1, 4)]))
+    good = fo.poisson_goodness(cons, pairs)
+    got = {r.sample_id: r for r in good.collect()}
+    assert set(got) == {*want, "none", None} and got["none"].chi2 is None and got[None].df == 2
+    for k, v in want.items():
+        assert [got[k].chi2, got[k].df, got[k].p, got[k].n_outside] == pytest.approx([None if math.isnan(x) else x for x in v])
+    star = fo.star_rate_test(cons, pairs)
+    shares = {r.sample_id: r for r in star.collect()}
+    assert shares["none"].star_p is None and shares["none"].fits_star is None
+    alone = fo.star_rate_test(cons.filter("sample_id = 's3'"), pairs.filter("sample_id = 's3'")).first()
+    assert alone == shares["s3"] and alone.star_p + alone.star_q + alone.star_r == pytest.approx(1)
+    for df in (good, star):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_goodness_of_long_alignments_is_a_number():
+    d = np.random.default_rng(3).poisson(400, 50)
+    stat, df, _, _ = fo.chi_square(np.bincount(d).astype(float), np.bincount([a + b for a, b in itertools.combinations(d, 2)]).astype(float))
+    assert math.isfinite(stat) and df == d.max()
+
+
 @pytest.mark.parametrize("gaps", [False, True])
 def test_sums_of_large_groups_come_from_sites(seqs, monkeypatch, gaps):
     big, small = random_rows(60, 30, 8, changes=20), random_rows(9, 21, 3, changes=9)
