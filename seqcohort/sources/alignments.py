@@ -6,8 +6,13 @@ offset and the row number inside the split, so a large file is not read by one t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +20,14 @@ from seqcohort.operators.ranks import running_totals
 from seqcohort.session import settle
 
 
-def read_records(spark: SparkSession, paths: Sequence[str] | str, separator: str = "\n") -> DataFrame:
-    """(path, at, value): text records with ``at`` increasing in file order."""
+def read_records(spark: SparkSession, paths: Sequence[str] | str, separator: str = "\n", once: bool = False) -> DataFrame:
+    """(path, at, value): text records with ``at`` increasing in file order. ``once`` writes the
+    records and reads them back, so that every file is opened a single time."""
     raw = spark.read.option("lineSep", separator).text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"), "value",
     )
+    raw = settle(raw) if once else raw
     first = raw.groupBy("path", "_start").agg(F.min("_id").alias("_first"))
     # a split has fewer records than bytes, so start + row number never overlaps
     return raw.join(first, ["path", "_start"]).select(
@@ -71,9 +78,9 @@ def read_file_list(spark: SparkSession, list_path: str, **options) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Lines with their number. The files are opened twice here, however often the lines are used:
+    """Lines with their number. The files are opened once, however often the lines are used:
     many small ones cost more to open than to read."""
-    lines = settle(read_records(spark, paths).filter("trim(value) <> ''"))
+    lines = settle(read_records(spark, paths, once=True).filter("trim(value) <> ''"))
     numbers = running_totals(lines.withColumn("_one", F.lit(1).cast("bigint")), ["path"], "at", ["_one"])
     return settle(lines.join(numbers.select("path", "at", F.col("_one_through").alias("line")), ["path", "at"]))
 
@@ -96,6 +103,7 @@ def checked(found: DataFrame, declared: DataFrame) -> DataFrame:
     """Sequences of ``found`` (with ``path``) after comparison with what their file declares:
     the number of sequences ``_n`` and of sites ``_sites`` (null: not declared), and the
     characters that may occur. A file that disagrees is an error, never a guess."""
+    found = settle(found)  # read twice, put together once
     seen = found.groupBy("path").agg(
         F.count(F.lit(1)).alias("_rows"), F.min(F.length("seq")).alias("_short"), F.max(F.length("seq")).alias("_long"),
         F.bool_and(F.col("seq").rlike(f"^{RESIDUES}$")).alias("_clean"),
@@ -130,10 +138,7 @@ def read_phylip(spark: SparkSession, paths: Sequence[str] | str, sample_pattern:
     )
 
 
-def read_nexus(spark: SparkSession, paths: Sequence[str] | str, sample_pattern: str = FILE_STEM) -> DataFrame:
-    """Matrix block of NEXUS files, interleaved or not: every line repeats its name. Comments
-    in brackets are left out, also over several lines; the declared dimensions are checked."""
-    lines = _numbered(spark, paths)
+def _without_comments(lines: DataFrame) -> DataFrame:
     # depth of brackets at the start of each line, from running totals of the two kinds
     count = lambda mark: (F.length("value") - F.length(F.replace("value", F.lit(mark), F.lit("")))).cast("bigint")
     depth = lines.withColumns({"_up": count("["), "_down": count("]")})
@@ -142,7 +147,17 @@ def read_nexus(spark: SparkSession, paths: Sequence[str] | str, sample_pattern:
     )
     inside = F.concat(F.when(F.col("_open") > 0, F.lit("[")).otherwise(F.lit("")), F.col("value"))
     plain = F.regexp_replace(F.regexp_replace(inside, r"\[[^\]]*\]", ""), r"\[.*$", "")
-    lines = lines.join(before, ["path", "line"]).withColumn("value", plain).drop("_open").filter("trim(value) <> ''")
+    return lines.join(before, ["path", "line"]).withColumn("value", plain).drop("_open").filter("trim(value) <> ''")
+
+
+def read_nexus(spark: SparkSession, paths: Sequence[str] | str, sample_pattern: str = FILE_STEM) -> DataFrame:
+    """Matrix block of NEXUS files, interleaved or not: every line repeats its name. Comments
+    in brackets are left out, also over several lines; the declared dimensions are checked."""
+    lines = _numbered(spark, paths)
+    # only files with a bracket can hold a comment; the lines are read four times below
+    commented = settle(lines.filter(F.col("value").contains("[")).select("path").distinct())
+    lines = settle(lines.join(commented, "path", "left_anti").unionByName(
+        _without_comments(lines.join(commented, "path", "left_semi"))))
     declared = lines.filter(F.lower("value").rlike(r"^\s*dimensions\b")).withColumn("value", F.lower("value")).select(
         "path", F.nullif(F.regexp_extract("value", r"\bntax\s*=\s*(\d+)", 1), F.lit("")).cast("bigint").alias("_n"),
         F.nullif(F.regexp_extract("value", r"\bnchar\s*=\s*(\d+)", 1), F.lit("")).cast("bigint").alias("_sites"),
@@ -169,3 +184,31 @@ def write_fasta(df: DataFrame, path: str, width: int = 72, sample: str = "sample
         .select(sample, F.concat(F.lit(">"), F.col("seq_name"), F.lit("\n"), wrapped).alias("value"))
         .write.partitionBy(sample).text(path)
     )
+
+
+def write_files(df: DataFrame, path: str, name: str = "sample_id", order: Sequence[str] = (), value: str = "value") -> None:
+    """One text file ``name=value.txt`` per value, in folders of one task each, with its lines in ``order``.
+    A task opens its files itself, one after the other: a writer that partitions by folder takes
+    many times as long per file."""
+    named = F.coalesce(F.col(name).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("_name")
+    rows = df.select(named, *order, F.col(value).alias("_value")).repartition("_name").sortWithinPartitions("_name", *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = re.match(r"^(file:)?/", path)
+        store, root = (fs.LocalFileSystem(), re.sub(r"^(file:)?/+", "/", path)) if local else fs.FileSystem.from_uri(path)
+        folder, out, now, written = f"{root}/{TaskContext.get().partitionId()}", None, None, 0
+        for batch in batches:
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own != now:
+                    if out is None:
+                        store.create_dir(folder, recursive=True)
+                    else:
+                        out.close()
+                    now, written = own, written + 1
+                    out = store.open_output_stream(f"{folder}/{name}={quote(own, safe='=+@ ')}.txt")
+                out.write(f"{text}\n".encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    rows.select("_name", "_value").mapInArrow(run, "files bigint").agg(F.sum("files")).collect()

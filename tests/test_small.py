@@ -496,3 +496,19 @@ def test_hypermutation_marks_equal_the_patterns():
         )
         got = fo.site_marks(seq, 20, np.array([[c == "g" for c in ref[:20].ljust(20)]]))
         assert got.tobytes().decode() == want
+
+
+def test_files_are_written_by_tasks_and_read_once(spark, tmp_path, monkeypatch):
+    rows = [(f"s{i}", b, j, f"r{j} acgt"[: 7 if b == 1 else None] if b else "#NEXUS\nmatrix") for i in range(9) for b in range(3) for j in range(3 if b else 1)]
+    rows += [(f"s{i}", 3, 0, ";\nend;") for i in range(9)] + [(None, 0, 0, "matrix"), (None, 1, 0, "[two"), (None, 1, 1, "lines] x ac-t"), (None, 2, 0, ";")]
+    df = spark.createDataFrame(rows, "sample_id string, b int, i int, value string").repartition(5)
+    al.write_files(df, f"file://{tmp_path}/some", "sample_id", ["b", "i"])
+    files = {p.name: p.read_text() for p in (tmp_path / "some").glob("*/*")}
+    assert set(files) == {*(f"sample_id=s{i}.txt" for i in range(9)), "sample_id=__HIVE_DEFAULT_PARTITION__.txt"}
+    assert files["sample_id=s4.txt"] == "#NEXUS\nmatrix\n" + "".join(f"r{j} acgt"[:7] + "\n" for j in range(3)) + "".join(f"r{j} acgt\n" for j in range(3)) + ";\nend;\n"
+    got = {(r.sample_id, r.seq_name, r.seq) for r in al.read_nexus(spark, f"{tmp_path}/some/*", r"sample_id=([^/]+)\.txt$").collect()}
+    assert got == {*((f"s{i}", f"r{j}", "acgtacgt") for i in range(9) for j in range(3)), ("__HIVE_DEFAULT_PARTITION__", "x", "ac-t")}
+    opened, records = [], al.read_records
+    monkeypatch.setattr(al, "read_records", lambda *a, **kw: opened.append(records(*a, **kw)) or opened[-1])
+    al._numbered(spark, f"{tmp_path}/some/*")
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("file_block_start") for df in opened] == [0]
